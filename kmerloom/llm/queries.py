@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.llm import audio, chat, chosen_path, kdtree, mixing, pstable
+from kmerloom.llm import audio, bpe, chat, chosen_path, html, kdtree, langid, mixing, pstable, quality
+from kmerloom.llm.common import crc_mod
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +28,34 @@ def op4_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kdtree.shard(_table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op5_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_texts(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op6_quality_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", crc_mod("doc_id", 5) == 0)
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "quality").where(crc_mod("doc_id", 5) != 0)
+    model = quality.learn(docs.where("not held_out").select("doc_id", "text"), labels)
+    return quality.grade(docs, model, keep_text=False).select("doc_id", "held_out", "score", "predicted")
+
+
+def op7_langid_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", crc_mod("doc_id", 4) == 2)
+    model = langid.learn(docs.where("not held_out"))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), model, keep_text=False)
+
+
+def op8_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+
+
 def op9_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = "</s>[INST] ok [/INST]"
     rows = _table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
