@@ -11,6 +11,7 @@ texts; reuse within a worker needs none.)
 import functools
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +21,12 @@ from pyspark.sql import functions as F
 
 from kmerloom.llm.common import _BYTE, _INVERSE, _POWER, U, mix
 
-#: Bytes of the rolling window, of a chunk on average, of text in work at a time, and of the store of chunks.
-WINDOW, CHUNK, SLICE, STORE = 16, 1024, 1 << 19, 48 << 20
+#: Bytes of the rolling window, of a chunk on average, of text in work at a time, and of the store of chunks; words of a generation.
+WINDOW, CHUNK, SLICE, STORE, WORDS = 16, 1024, 1 << 19, 32 << 20, 150_000
 #: Ids decoded at a time.
 IDS = 1 << 16
 _WHITE = (" ", "\n", "\t", "\r")
+_WORD = re.compile("[^ \\n\\t\\r]+")
 
 
 def _cuts(data: bytes) -> list[int]:
@@ -84,24 +86,43 @@ def tokenizer(path: str):
 
 
 class Store:
-    """Ids of chunks by their text, the oldest going when the bytes are used up."""
+    """Ids of chunks by their text, as little-endian bytes, the oldest going when the bytes are used up.
+
+    A chunk that is not held is encoded by its words between white space, of which the recent ones are held in two
+    generations of at most WORDS each.
+    """
 
     def __init__(self, limit: int = STORE):
-        self.held: dict[str, np.ndarray] = {}
+        self.held: dict[str, bytes] = {}
         self.used, self.limit = 0, limit
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def get(self, tok, texts: list[str]) -> list[np.ndarray]:
+    def get(self, tok, texts: list[str]) -> list[bytes]:
         new = [x for x in dict.fromkeys(texts) if x not in self.held]
-        got = {}
-        for x, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            got[x] = np.array(e.ids, np.uint32)
+        split = [_WORD.findall(x) for x in new]
+        known = {}
+        missing = []
+        for w in {w for words in split for w in words}:
+            ids = self.young.get(w)
+            if ids is None and (ids := self.old.get(w)) is not None:
+                self.young[w] = ids
+            if ids is None:
+                missing.append(w)
+            else:
+                known[w] = ids
+        for w, e in zip(missing, tok.encode_batch_fast(missing, add_special_tokens=False), strict=True):
+            known[w] = self.young[w] = np.array(e.ids, "<u4").tobytes()
+        got = {x: b"".join([known[w] for w in words]) for x, words in zip(new, split, strict=True)}
         out = [self.held[x] if x in self.held else got[x] for x in texts]
         for x, ids in got.items():
             self.held[x] = ids
-            self.used += 4 * len(x) + ids.nbytes + 200
+            self.used += 2 * len(x) + len(ids) + 200
         while self.used > self.limit:
             x = next(iter(self.held))
-            self.used -= 4 * len(x) + self.held.pop(x).nbytes + 200
+            self.used -= 2 * len(x) + len(self.held.pop(x)) + 200
+        if len(self.young) > WORDS:
+            self.young, self.old = {}, self.young
         return out
 
 
@@ -110,10 +131,10 @@ def _store(path: str) -> Store:
     return Store()
 
 
-def encode(path: str, texts: list[str], store: Store | None = None) -> list[list[np.ndarray]]:
-    """The ids of each text as a list of arrays, by chunk reuse."""
+def encode(path: str, texts: list[str], store: Store | None = None) -> list[np.ndarray]:
+    """The ids of each text, by chunk reuse."""
     tok, store = tokenizer(path), store or _store(path)
-    out: list[list[np.ndarray]] = [[] for _ in texts]
+    out: list[list[bytes]] = [[] for _ in texts]
     work, owner, size = [], [], 0
     for i, text in enumerate(texts):
         for piece in pieces(text):
@@ -126,7 +147,7 @@ def encode(path: str, texts: list[str], store: Store | None = None) -> list[list
                 work, owner, size = [], [], 0
     for j, ids in zip(owner, store.get(tok, work) if work else [], strict=True):
         out[j].append(ids)
-    return out
+    return [np.frombuffer(b"".join(x), "<u4") for x in out]
 
 
 def decode(path: str, ids: np.ndarray) -> Iterator[str]:
@@ -148,8 +169,7 @@ def _encoded(path: str, keep: bool):
                 while end < len(texts) and (end == at or size + len(texts[end]) <= SLICE):
                     size += len(texts[end])
                     end += 1
-                for parts in encode(path, texts[at:end]):
-                    ids = np.concatenate(parts).astype("<u4") if parts else np.empty(0, "<u4")
+                for ids in encode(path, texts[at:end]):
                     whole, back = hashlib.sha256(), []
                     for part in decode(path, ids):
                         whole.update(part.encode("utf-8", "surrogatepass"))
