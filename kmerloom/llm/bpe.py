@@ -21,12 +21,17 @@ from pyspark.sql import functions as F
 
 from kmerloom.llm.common import _BYTE, _INVERSE, _POWER, U, mix
 
-#: Bytes of the rolling window, of a chunk on average, of text in work at a time, and of the store of chunks; words of a generation.
-WINDOW, CHUNK, SLICE, STORE, WORDS = 16, 1024, 1 << 19, 32 << 20, 150_000
+#: Bytes of the rolling window, of a chunk on average, of text in work at a time, and of the store of chunks; units held.
+WINDOW, CHUNK, SLICE, STORE, UNITS = 16, 1024, 1 << 20, 24 << 20, 400_000
 #: Ids decoded at a time.
 IDS = 1 << 16
 _WHITE = (" ", "\n", "\t", "\r")
-_WORD = re.compile("[^ \\n\\t\\r]+")
+#: Plain text is Latin letters, digits, ASCII signs but the apostrophe, and white space, without control strings: the pattern
+#: of this kind of tokenizer splits it into runs of letters, single digits and runs of signs, whatever stands around them.
+_LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_SIGNS = "!-&(-/:-@\\[-`{-~"
+_NOT_PLAIN = re.compile(f"[^ \\n\\t\\r0-9{_LATIN}{_SIGNS}]|<\\|")
+_UNIT = re.compile(f"[{_LATIN}]+|[0-9]|[{_SIGNS}]+")
 
 
 def _cuts(data: bytes) -> list[int]:
@@ -88,32 +93,43 @@ def tokenizer(path: str):
 class Store:
     """Ids of chunks by their text, as little-endian bytes, the oldest going when the bytes are used up.
 
-    A chunk that is not held is encoded by its words between white space, of which the recent ones are held in two
-    generations of at most WORDS each.
+    A new chunk of plain text is encoded by its units (letters, a digit, signs), of which at most UNITS are held; units that
+    are not held are encoded together. Any other chunk is encoded as it is.
     """
 
     def __init__(self, limit: int = STORE):
         self.held: dict[str, bytes] = {}
         self.used, self.limit = 0, limit
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
+
+    def learn(self, tok, wanted: set[str]) -> None:
+        letters = [x for x in wanted if x.isalpha()]
+        for at in range(0, len(letters), 8192):
+            some = letters[at : at + 8192]
+            ids = np.array(tok.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(_last(tok)[ids]) + 1
+            if len(ends) == len(some):  # each word ends in the one token that a word can end in
+                raw, low = ids.tobytes(), 0
+                for x, high in zip(some, (ends * 4).tolist(), strict=True):
+                    self.units[x] = raw[low:high]
+                    low = high
+        left = [x for x in wanted if x not in self.units]
+        for x, e in zip(left, tok.encode_batch_fast(left, add_special_tokens=False), strict=True):
+            self.units[x] = np.array(e.ids, "<u4").tobytes()
 
     def get(self, tok, texts: list[str]) -> list[bytes]:
         new = [x for x in dict.fromkeys(texts) if x not in self.held]
-        split = [_WORD.findall(x) for x in new]
-        known = {}
-        missing = []
-        for w in {w for words in split for w in words}:
-            ids = self.young.get(w)
-            if ids is None and (ids := self.old.get(w)) is not None:
-                self.young[w] = ids
-            if ids is None:
-                missing.append(w)
-            else:
-                known[w] = ids
-        for w, e in zip(missing, tok.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            known[w] = self.young[w] = np.array(e.ids, "<u4").tobytes()
-        got = {x: b"".join([known[w] for w in words]) for x, words in zip(new, split, strict=True)}
+        plain, other = [], []
+        for x in new:
+            (other if _NOT_PLAIN.search(x) else plain).append(x)
+        split = [_UNIT.findall(x.lower()) for x in plain]
+        if len(self.units) > UNITS:
+            self.units = {}
+        self.learn(tok, set().union(*split) - self.units.keys())
+        find = self.units.__getitem__
+        got = {x: b"".join(map(find, units)) for x, units in zip(plain, split, strict=True)}
+        for x, e in zip(other, tok.encode_batch_fast(other, add_special_tokens=False), strict=True):
+            got[x] = np.array(e.ids, "<u4").tobytes()
         out = [self.held[x] if x in self.held else got[x] for x in texts]
         for x, ids in got.items():
             self.held[x] = ids
@@ -121,11 +137,21 @@ class Store:
         while self.used > self.limit:
             x = next(iter(self.held))
             self.used -= 2 * len(x) + len(self.held.pop(x)) + 200
-        if len(self.young) > WORDS:
-            self.young, self.old = {}, self.young
         return out
 
 
+_ENDS: dict[int, np.ndarray] = {}
+
+
+def _last(tok) -> np.ndarray:
+    """Which ids are tokens that end a word."""
+    if id(tok) not in _ENDS:
+        found = np.zeros(tok.get_vocab_size(with_added_tokens=True) + 1, bool)
+        found[[i for x, i in tok.get_vocab().items() if x.endswith("</w>")]] = True
+        _ENDS[id(tok)] = found
+    return _ENDS[id(tok)]
+
+
 @functools.lru_cache(4)
 def _store(path: str) -> Store:
     return Store()
