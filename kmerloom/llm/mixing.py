@@ -114,8 +114,13 @@ def mix_sources(
     No document has more than `cap` copies. Rows of size 0 have the whole copies only. A null source is a source; null ids
     and repeated rows are rows as any other. The draws hash ids, so reruns agree. An empty table gives no rows.
     """
-    key = F.struct(F.col("source").isNull().alias("n"), F.col("source"))
     rows = cut(docs.select(F.col(id_col).cast("long").alias("id"), words(F.col(text_col)).alias("size"), F.col(source_col).alias("source")), "sizes")
+    return _mix(rows, weights, share, cap, seed).withColumnsRenamed({"id": id_col, "source": source_col})
+
+
+def _mix(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, seed: int = 3) -> DataFrame:
+    """mix_sources for written rows of (id, size, source)."""
+    key = F.struct(F.col("source").isNull().alias("n"), F.col("source"))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     targets = cut(source_targets(sizes, list(weights), share, cap), "targets").withColumnRenamed("source", "_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -125,7 +130,7 @@ def mix_sources(
     columns = [c.split()[0] for c in _SCHEMA.split(", ")]
     rows, done, level = rows.select(*columns[:-1]), [], 0
     most = targets.agg(F.max(F.ceil(F.col("docs") / BIN))).first()[0] or 1
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
         keyed = rows.withColumn("key", F.xxhash64(F.lit(level), key, "bin")).repartition(parts, "key").sortWithinPartitions("key", F.desc("size"), "id")
         found = cut(keyed.mapInArrow(_reduce(seed + level, most == 1), _SCHEMA), f"level{level}")
@@ -137,18 +142,19 @@ def mix_sources(
     out = done[0]
     for x in done[1:]:
         out = out.union(x)
-    return out.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", (F.col("base") + F.col("frac").cast("long")).alias("copies"))
+    return out.select("id", "size", "source", "source_size", "target", (F.col("base") + F.col("frac").cast("long")).alias("copies"))
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """docs with each row repeated as often as mix_sources says; columns as they were."""
-    on = ["_id", "_size", "_source", "_nth"]
-    same = Window.partitionBy("_id", "_size", "_source")
-    made = mix_sources(docs, id_col, text_col, source_col, **options)
-    made = made.select(F.col(id_col).alias("_id"), F.col("size").alias("_size"), F.col(source_col).alias("_source"), "copies")
-    made = made.withColumn("_nth", F.row_number().over(same.orderBy(F.desc("copies")))).where("copies > 0")
-    rows = docs.withColumns({"_id": F.col(id_col).cast("long"), "_size": words(F.col(text_col)), "_source": F.col(source_col)})
-    rows = rows.withColumn("_nth", F.row_number().over(same.orderBy(F.xxhash64(text_col))))
-    made = made.withColumnsRenamed({c: f"{c}_" for c in on})
-    joined = rows.join(made, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in on])
+    """docs with each row repeated as often as the mix says; columns as they were.
+
+    Rows of one id, source and size are drawn together, as one document of their common size, so that texts meet their
+    copies in one exchange by a hash of these three.
+    """
+    key = F.xxhash64("_id", "_size", F.col("_source").isNull(), "_source")
+    named = docs.withColumns({"_id": F.col(id_col).cast("long"), "_size": words(F.col(text_col)), "_source": F.col(source_col)}).withColumn("_key", key)
+    alike = named.groupBy("_key", "_id", "_size", "_source").agg(F.count("*").alias("n"))
+    alike = cut(alike.select(F.col("_key").alias("id"), (F.col("_size") * F.col("n")).alias("size"), F.col("_source").alias("source")), "alike")
+    made = _mix(alike, **options).where("copies > 0").select(F.col("id").alias("_made"), "copies")
+    joined = named.join(made, F.col("_key") == F.col("_made"))
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
