@@ -201,7 +201,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     comps = cut(candidate_components(levels).withColumnsRenamed({"node": "id", "component": "comp"}), "candidates")
     members = comps.join(classes.select(F.col("node").alias("id"), "rep", "weight"), "id").withColumnRenamed("id", "node")
     texts = source.join(members, F.col("id") == F.col("rep")).select("text", "node", "weight", "comp")
-    links, trees = exact_links(texts.mapInArrow(_tokens(width), "id long, weight long, comp long, tokens binary"), similar(threshold), ["tokens"])
+    links, trees = exact_links(texts.mapInArrow(_tokens(width), "id long, weight long, comp long, tokens binary"), similar(threshold), ["tokens"], comps)
     found = components(trees)
     nodes = classes.select("node", "rep", "weight").join(links.withColumnRenamed("id", "node"), "node", "left").join(found, "node", "left")
     nodes = cut(nodes.withColumn("component", F.coalesce("component", "node")), "nodes")

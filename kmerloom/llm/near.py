@@ -115,20 +115,21 @@ def bucket_links(rows: DataFrame, width: int, near: int, far: int, limit: int |
     return rows.repartition(int(parts), "path").sortWithinPartitions("path", "id").mapInArrow(kernel, "path long, u long, v long")
 
 
-def blocks(rows: DataFrame, key: str, size: int) -> DataFrame:
+def blocks(rows: DataFrame, key: str, size: int, keys: DataFrame | None = None) -> DataFrame:
     """Give each row of a key with m rows the ceil(m / size) pairs of blocks that hold it; adds a, b, block and tile.
 
-    Every two rows of a key meet in the one tile of their blocks. Row counts are made with map-side partial sums.
+    Every two rows of a key meet in the one tile of their blocks. Row counts are made with map-side partial sums,
+    from `keys` where that has the same keys and is cheaper to read.
     """
-    many = rows.groupBy(F.col(key).alias("_key")).agg(F.ceil(F.count("*") / size).cast("int").alias("_many"))
+    many = (rows if keys is None else keys).groupBy(F.col(key).alias("_key")).agg(F.ceil(F.count("*") / size).cast("int").alias("_many"))
     held = rows.join(many, F.col(key) == F.col("_key")).drop("_key").withColumn("block", F.pmod(F.xxhash64(F.lit(7), "id"), F.col("_many")).cast("int"))
     held = held.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_many") - 1)))
     held = held.withColumn("a", F.least("block", "_other")).withColumn("b", F.greatest("block", "_other"))
     return held.withColumn("tile", F.xxhash64(F.lit(3), key, "a", "b")).drop("_many", "_other")
 
 
-def exact_links(rows: DataFrame, compare: Callable[[list, list], np.ndarray], payload: list[str]) -> tuple[DataFrame, DataFrame]:
-    """rows (id, weight, comp, *payload) -> links (id, n_links) and trees (u, v).
+def exact_links(rows: DataFrame, compare: Callable[[list, list], np.ndarray], payload: list[str], comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows (id, weight, comp, *payload), comps (comp) a row for each -> links (id, n_links) and trees (u, v).
 
     compare(left, right) gives the boolean matrix of links between two lists of payload rows. All pairs of a component are
     compared, block by block; what leaves a tile is one count a row and a spanning forest, never its pairs.
@@ -196,7 +197,7 @@ def exact_links(rows: DataFrame, compare: Callable[[list, list], np.ndarray], pa
         return out
 
     parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    tiles = blocks(rows, "comp", BLOCK).repartition(int(parts), "tile").sortWithinPartitions("tile", "id")
+    tiles = blocks(rows, "comp", BLOCK, comps).repartition(int(parts), "tile").sortWithinPartitions("tile", "id")
     found = cut(tiles.select("tile", "id", "weight", "block", "a", "b", *payload).mapInArrow(kernel, "u long, v long, n long"), "links")
     links = found.where("v is null").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("n_links"))
     return links, found.where("v is not null").select("u", "v")

@@ -129,9 +129,9 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     crowded = level.where("v is null").select("path", F.col("u").alias("id")).join(classes.select(F.col("node").alias("id"), "sketch"), "id")
     tiles = blocks(crowded, "path", LEADERS).select(F.col("tile").alias("path"), "id", "sketch")
     rest = cut(bucket_links(tiles, BITS // 64, near, far, None), "rest")
-    comps = candidate_components([level, rest]).withColumnsRenamed({"node": "id", "component": "comp"})
+    comps = cut(candidate_components([level, rest]).withColumnsRenamed({"node": "id", "component": "comp"}), "candidates")
     members = comps.join(classes.select(F.col("node").alias("id"), "weight", "unit"), "id")
-    links, trees = exact_links(members, cosines(cosine), ["unit"])
+    links, trees = exact_links(members, cosines(cosine), ["unit"], comps)
     nodes = classes.select("node", "rep", "weight").join(links.withColumnRenamed("id", "node"), "node", "left").join(components(trees), "node", "left")
     nodes = cut(nodes.withColumn("component", F.coalesce("component", "node")), "nodes")
     least = nodes.groupBy("component").agg(F.min("rep").alias("component_id"))
