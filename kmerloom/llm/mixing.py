@@ -156,5 +156,5 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     alike = named.groupBy("_key", "_id", "_size", "_source").agg(F.count("*").alias("n"))
     alike = cut(alike.select(F.col("_key").alias("id"), (F.col("_size") * F.col("n")).alias("size"), F.col("_source").alias("source")), "alike")
     made = _mix(alike, **options).where("copies > 0").select(F.col("id").alias("_made"), "copies")
-    joined = named.join(made, F.col("_key") == F.col("_made"))
+    joined = named.join(made.hint("merge"), F.col("_key") == F.col("_made"))  # copies grow with the rows: never broadcast, whatever the size
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
