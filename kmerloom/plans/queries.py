@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.functions import masks
 from kmerloom.functions import sequence as S
-from kmerloom.operators import align, contigs, evaluate, filters, graph, intervals, unitigs
+from kmerloom.operators import align, calls, contigs, evaluate, filters, graph, inheritance, intervals, simulate, unitigs
 from kmerloom.plans.catalog import K, Catalog, sql
 
 _QUERIES: dict[str, Callable[[Catalog], DataFrame]] = {}
@@ -534,6 +534,96 @@ def f1_table(c):
     return rows.groupBy(F.col("event_type").alias("type"), "bucket").agg(n.alias("n"), F.round(2.0 * tp / (n + tp), 6).alias("f1"))
 
 
+# Calls, simulated variants, inheritance, CIGAR texts
+
+
+@query()
+def variant_calls(c):
+    """Truth sequences as children of the document that shares most k-mers, cut to what they share and 200 letters around."""
+    seen = c.graph.select("ck").distinct()
+    best = contigs.best_overlap(c.truth_kmers, c.kmers, seen, "item_id", "doc_id").select(F.col("a").alias("item_id"), F.col("b").alias("doc_id"))
+    spans = contigs.extents(c.truth_kmers, c.kmers, "item_id", "doc_id").join(best, ["item_id", "doc_id"], "left_semi")
+    parents = spans.join(c.seqs, "doc_id").select("item_id", F.create_map(F.concat(F.lit("sample"), F.col("color").cast("string"), F.lit(":"), F.col("doc_id").cast("string")), F.substr("seq", F.greatest(F.col("first") - 199, F.lit(1)), F.col("last") - F.greatest(F.col("first") - 200, F.lit(0)) + K + 200)).alias("targets"))
+    novel = c.truth_kmers.join(seen, "ck", "left_anti").groupBy("item_id").agg(F.collect_set("ck").alias("novel"))
+    rows = c.truth.join(parents, "item_id").join(novel, "item_id").select("item_id", F.col("seq").alias("query"), "targets", "novel", F.lit(0).alias("offset"))
+    return calls.call_variants(rows, "item_id", K, 0.035, 0.90, 6e-4, 1e-3)
+
+
+_LONG = "length(seq) >= 60"
+_AT = "CAST(length(seq) // 3 AS BIGINT)"
+_RCP = f"reverse(translate(substr(seq, {_AT} + 1, 7), 'ACGT', 'TGCA'))"
+
+
+@query("truth", f"""SELECT * FROM (
+  SELECT item_id, 'DEL' AS kind, {_AT} AS start, substr(seq, {_AT} + 1, 8) AS ref, substr(seq, {_AT} + 1, 1) AS alt FROM truth WHERE {_LONG}
+  UNION ALL SELECT item_id, 'INV', {_AT}, substr(seq, {_AT} + 1, 7), {_RCP} FROM truth WHERE {_LONG}
+  UNION ALL SELECT item_id, 'MNP', {_AT}, substr(seq, {_AT} + 1, 7), translate(substr(seq, {_AT} + 1, 7), 'ACGT', 'CGTA') FROM truth WHERE {_LONG}
+  UNION ALL SELECT item_id, 'TD', {_AT}, substr(seq, {_AT} + 1, 7), substr(seq, {_AT} + 1, 7) || substr(seq, {_AT} + 1, 7) FROM truth WHERE {_LONG}) WHERE ref <> alt""")
+def simulate_variants(c):
+    at, size, seq = F.floor(F.length("seq") / 3).cast("int"), F.lit(7), F.col("seq")
+    made = {"DEL": simulate.deletion, "INV": simulate.inversion, "MNP": simulate.substitution, "TD": simulate.duplication}
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), f(seq, at, size).alias("v")) for k, f in made.items()])
+    return c.truth.where(_LONG).select("item_id", F.explode(kinds).alias("x")).where("x.v is not null").select("item_id", "x.kind", "x.v.start", "x.v.ref", "x.v.alt")
+
+
+@query("truth", f"SELECT item_id, left(seq, {_AT} + 1) || substr(seq, {_AT} + 9) AS seq FROM truth WHERE {_LONG}")
+def simulated_child(c):
+    rows = c.truth.where(_LONG)
+    made = rows.select("item_id", simulate.deletion(F.col("seq"), F.floor(F.length("seq") / 3).cast("int"), F.lit(7)).alias("v")).select("item_id", "v.*")
+    return simulate.apply_all(rows, made, "item_id")
+
+
+@query()
+def simulated_random(c):
+    """Substitutions and insertions whose letters are dealt by hash."""
+    at, seq, seed = F.floor(F.length("seq") / 2).cast("int"), F.col("seq"), F.col("item_id")
+    kinds = F.array(F.struct(F.lit("SNV").alias("kind"), simulate.snv(seq, at, seed).alias("v")), F.struct(F.lit("INS").alias("kind"), simulate.insertion(seq, at, F.lit(9), seed).alias("v")))
+    return c.truth.where(_LONG).select("item_id", F.explode(kinds).alias("x")).select("item_id", "x.kind", "x.v.*")
+
+
+_GT = "gts AS (SELECT event_id AS site, unnest(['m', 'f', 'a', 'b']) AS sample, unnest([event_id % 2, user_id % 2, (event_id + user_id) % 3 % 2, event_id // 2 % 2]) AS gt FROM events)"
+
+
+def _genotypes(c):
+    e, u = F.col("event_id"), F.col("user_id")
+    cells = F.create_map(F.lit("m"), e % 2, F.lit("f"), u % 2, F.lit("a"), (e + u) % 3 % 2, F.lit("b"), F.floor(e / 2) % 2)
+    return c.table("events").select(e.alias("site"), F.explode(cells).alias("sample", "gt"))
+
+
+@query("", f"WITH {_GT} SELECT g.site, g.sample, CASE WHEN g.gt = m.gt AND g.gt <> f.gt THEN 0 ELSE 1 END AS code FROM gts g JOIN gts m ON m.site = g.site AND m.sample = 'm' JOIN gts f ON f.site = g.site AND f.sample = 'f' WHERE g.sample IN ('a', 'b')")
+def inheritance_track(c):
+    return inheritance.track(_genotypes(c), ["site"], "m", "f")
+
+
+@query("", f"WITH {_GT} SELECT site, max(CASE WHEN sample = 'a' THEN gt END) AS a, max(CASE WHEN sample = 'b' THEN gt END) AS b FROM gts GROUP BY site")
+def inheritance_matrix(c):
+    return inheritance.matrix(_genotypes(c), ["site"], "sample", "gt", ["a", "b"])
+
+
+@query("", "SELECT l_returnflag AS row, l_linestatus AS \"column\", CAST(sum(l_linenumber) + count(*) AS BIGINT) AS value FROM lineitem GROUP BY 1, 2")
+def matrix_sum(c):
+    rows = c.table("lineitem").select(F.col("l_returnflag").alias("row"), F.col("l_linestatus").alias("column"), "l_linenumber")
+    return inheritance.added(rows.select("row", "column", F.col("l_linenumber").cast("long").alias("value")), rows.select("row", "column", F.lit(1).cast("long").alias("value")))
+
+
+@query()
+def principal_components(c):
+    names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    rotation, deviations = inheritance.principal_components(c.table("lineitem"), names)
+    cells = [(names[i], j, float(rotation[i, j]), float(deviations[j])) for i in range(len(names)) for j in range(len(names))]
+    return c.spark.createDataFrame(cells, "name string, component int, loading double, deviation double")
+
+
+@query("", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN [] ELSE [event_id % 50 + 1] END AS inserted_at, CASE WHEN event_id % 3 = 0 THEN [] ELSE [user_id % 9 + 1] END AS inserted,
+  CASE WHEN event_id % 3 = 0 THEN '4M2D' || (event_id % 50 + 1) || 'M' ELSE '4M2D6M' || (user_id % 9 + 1) || 'I' || (event_id % 50 + 1) || 'M' END AS turned, [event_id % 50 + 1, event_id % 50 + 5] AS mismatches FROM events""")
+def cigar_functions(c):
+    e, u = (F.col("event_id") % 50 + 1).cast("string"), (F.col("user_id") % 9 + 1).cast("string")
+    cigar = F.when(F.col("event_id") % 3 == 0, F.concat(e, F.lit("M2D4M"))).otherwise(F.concat(e, F.lit("M"), u, F.lit("I6M2D4M")))
+    rows = c.table("events").select("event_id", cigar.alias("cigar"), F.concat(e, F.lit("A^GT1C7")).alias("md"))
+    x = F.col("cigar")
+    return rows.select("event_id", inheritance.cigar_places(x, "I").alias("inserted_at"), inheritance.cigar_sizes(x, "I").alias("inserted"), inheritance.reversed_cigar(x).alias("turned"), inheritance.mismatch_places(F.col("md")).alias("mismatches"))
+
+
 def queries() -> dict:
     return {name: (lambda spark, sf_dir, f=f: f(Catalog(spark, sf_dir))) for name, f in _QUERIES.items()}
 
