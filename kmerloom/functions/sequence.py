@@ -113,3 +113,32 @@ def breakend(alt: Column) -> Column:
 
 def jaccard_percent(a: Column, b: Column) -> Column:
     return 100.0 * F.size(F.array_intersect(a, b)) / F.nullif(F.size(F.array_union(a, b)), F.lit(0))
+
+
+def second_neighbours(seq: Column | str, k: int) -> Column:
+    """All sequences at exactly two substitutions of a k-letter sequence, sorted."""
+    s = _col(seq)
+    made = [F.concat(F.substr(s, F.lit(1), F.lit(i)), F.lit(a), F.substr(s, F.lit(i + 2), F.lit(j - i - 1)), F.lit(b), F.substr(s, F.lit(j + 2))) for i in range(k) for j in range(i + 1, k) for a in BASES for b in BASES]
+    return F.array_sort(F.filter(F.array_distinct(F.array(*made)), lambda x: hamming(x, s) == 2))
+
+
+def longest_common_substring(a: Column | str, b: Column | str) -> Column:
+    """The first longest stretch of a that is in b: lengths grow at each start, so each start asks only for a longer one."""
+    x, y = _col(a), _col(b)
+
+    def step(acc: Column, i: Column) -> Column:
+        sizes = F.sequence(F.length(acc) + 1, F.greatest(F.length(x) - i + 1, F.length(acc) + 1))
+        grown = F.aggregate(sizes, acc, lambda best, n: F.when((F.length(best) >= n - 1) & (i + n - 1 <= F.length(x)) & F.contains(y, F.substr(x, i, n)), F.substr(x, i, n)).otherwise(best))
+        return grown
+
+    return F.when(F.length(x) == 0, "").otherwise(F.aggregate(F.sequence(F.lit(1), F.length(x)), F.lit(""), step))
+
+
+def splits(seq: Column | str, letters: str) -> Column:
+    """The sequence in stretches of these letters and stretches of others, in order."""
+    return F.regexp_extract_all(_col(seq), F.lit(f"([{letters}]+|[^{letters}]+)"), 1)
+
+
+def edits(a: Column | str, b: Column | str) -> Column:
+    """Columns of an aligned pair of texts that differ, gaps as well."""
+    return hamming(a, b)
