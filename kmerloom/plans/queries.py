@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.functions import masks
 from kmerloom.functions import sequence as S
-from kmerloom.operators import align, calls, contigs, evaluate, filters, graph, inheritance, intervals, simulate, unitigs
+from kmerloom.operators import align, annotate, calls, clean, contigs, evaluate, filters, graph, inheritance, intervals, simulate, unitigs
 from kmerloom.plans.catalog import K, Catalog, sql
 
 _QUERIES: dict[str, Callable[[Catalog], DataFrame]] = {}
@@ -624,6 +624,42 @@ def cigar_functions(c):
     return rows.select("event_id", inheritance.cigar_places(x, "I").alias("inserted_at"), inheritance.cigar_sizes(x, "I").alias("inserted"), inheritance.reversed_cigar(x).alias("turned"), inheritance.mismatch_places(F.col("md")).alias("mismatches"))
 
 
+# Annotation, matches, features of k-mers, cleaning
+
+
+@query("features variants", """SELECT v.pos, coalesce(CAST(r.region AS VARCHAR), 'core') AS region, g.gene, n.closest_gene, g.gene IS NOT NULL AS genic FROM variants v
+  LEFT JOIN (SELECT v.pos, min(f.id) AS region FROM variants v JOIN features f ON f.chr = v.chr AND f.id % 10 = 1 AND f.start <= v.pos AND f.stop >= v.pos GROUP BY v.pos) r ON r.pos = v.pos
+  LEFT JOIN (SELECT v.pos, min(f.id) AS gene FROM variants v JOIN features f ON f.chr = v.chr AND f.id % 10 = 2 AND f.start <= v.pos AND f.stop >= v.pos GROUP BY v.pos) g ON g.pos = v.pos
+  LEFT JOIN (SELECT pos, arg_min(id, (d, id)) AS closest_gene FROM (SELECT v.pos, f.id, abs(f.start - v.pos) AS d FROM variants v JOIN features f ON f.chr = v.chr AND f.id % 10 = 2 AND f.start BETWEEN v.pos - 100 AND v.pos + 100) GROUP BY pos) n ON n.pos = v.pos""")
+def annotate_calls(c):
+    part = lambda i: c.features.where(F.col("id") % 10 == i)
+    return annotate.annotate(c.variants.select("chr", "pos"), "pos", part(1), part(2), part(3), 100).select("pos", "region", "gene", "closest_gene", "genic")
+
+
+@query("variants", """SELECT id, arg_min(other, (d, other)) AS truth_id, min(d) AS distance FROM (SELECT a.pos AS id, b.pos AS other, abs(a.pos - b.pos) AS d FROM variants a JOIN variants b ON b.chr = a.chr
+  AND b.event_type = a.event_type AND a.user_id % 2 = 0 AND b.user_id % 2 = 1 AND abs(a.pos - b.pos) < CASE a.event_type WHEN 'click' THEN 10 ELSE 50 END) GROUP BY id""")
+def truth_match(c):
+    rows = c.variants.select("chr", "pos", F.col("event_type").alias("type"), F.col("pos").alias("id"), "user_id")
+    return annotate.positional_match(rows.where("user_id % 2 = 0"), rows.where("user_id % 2 = 1"), "id", {"click": 10}, 50)
+
+
+@query("rois kmers", f"""SELECT r.ck, r.cov, -m.n AS contig, m.novels, m.length, m.distance, CASE WHEN bit_count(r.in_mask) + bit_count(r.out_mask) > 4 THEN 1 ELSE 0 END AS dust, CASE WHEN r.cov < 2 THEN 1 ELSE 0 END AS thin FROM rois r LEFT JOIN (
+  SELECT ck, max(struct_pack(novels := novels, n := -doc_id, length := len, distance := d)) AS m FROM (SELECT k.ck, k.doc_id, any_value(n.novels) AS novels, any_value(length(s.seq)) AS len, min(least(k.pos, length(s.seq) - {K} - k.pos)) AS d FROM seqs_k k
+  JOIN seqs s ON s.doc_id = k.doc_id JOIN (SELECT doc_id, count(DISTINCT ck) AS novels FROM seqs_k WHERE color = 2 AND ck IN (SELECT ck FROM rois) GROUP BY doc_id) n ON n.doc_id = k.doc_id WHERE k.color = 2 AND k.ck IN (SELECT ck FROM rois) GROUP BY k.ck, k.doc_id) GROUP BY ck) x ON x.ck = r.ck""")
+def feature_table(c):
+    return annotate.feature_table(c.rois, c.contig_kmers, c.lengths, "doc_id", K, {"dust": filters.dust(c.rois), "thin": filters.low_coverage(c.rois, 2)})
+
+
+@query("oriented", """SELECT g.ck, g.color, g.cov, g.in_mask, g.out_mask FROM graph g WHERE g.color = 2""")
+def consistent_edges(c):
+    return clean.consistent(c.graph.where("color = 2"))
+
+
+@query("truth", "SELECT item_id, instr(seq, 'ACGT') > 0 AS has, len(regexp_extract_all(seq, '([GC]+|[^GC]+)')) AS parts FROM truth")
+def sequence_splits(c):
+    return c.truth.select("item_id", F.contains("seq", F.lit("ACGT")).alias("has"), F.size(S.splits("seq", "GC")).cast("long").alias("parts"))
+
+
 def queries() -> dict:
     return {name: (lambda spark, sf_dir, f=f: f(Catalog(spark, sf_dir))) for name, f in _QUERIES.items()}
 
