@@ -140,28 +140,47 @@ def id3v2(data: bytes) -> tuple[int, dict[str, str]]:
     return end + (10 if data[5] & 0x10 else 0), tags
 
 
-def trailing_tags(data: bytes) -> tuple[int, dict[str, str]]:
-    """(where trailing ID3v1 and APEv2 tags begin, their items)."""
-    end, tags = len(data), {}
-    if end >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-        for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97), ("comment", 97, 127)):
-            tags[f"id3v1:{name}"] = data[end + a : end + b].split(b"\0")[0].decode("latin-1").strip()
-    if end >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
-        size, count, flags = (int.from_bytes(data[end - 32 + i : end - 28 + i], "little") for i in (12, 16, 20))
-        begin = end - size
-        at = begin
-        for _ in range(count):
-            if at < 0 or at + 8 >= end - 32:
-                break
-            n = int.from_bytes(data[at : at + 4], "little")
-            stop = data.find(b"\0", at + 8, end)
-            if stop < 0:
-                break
-            tags[f"ape:{data[at + 8 : stop].decode('latin-1')}"] = data[stop + 1 : stop + 1 + n].decode("utf-8", "replace")
-            at = stop + 1 + n
-        end = max(0, begin - (32 if flags >> 31 else 0))
-    return end, tags
+def _id3v1(data: bytes, end: int) -> tuple[int, dict[str, str]] | None:
+    """(begin, items) of an ID3v1 tag that ends at `end`."""
+    if end < 128 or data[end - 128 : end - 125] != b"TAG":
+        return None
+    at = end - 128
+    places = (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97), ("comment", 97, 127))
+    return at, {f"id3v1:{name}": data[at + a : at + b].split(b"\0")[0].decode("latin-1").strip() for name, a, b in places}
+
+
+def _ape(data: bytes, end: int) -> tuple[int, dict[str, str]] | None:
+    """(begin, items) of an APEv2 tag that ends at `end`; none if its size or the header that it names is not there."""
+    if end < 32 or data[end - 32 : end - 24] != b"APETAGEX":
+        return None
+    size, count, flags = (int.from_bytes(data[end - 32 + i : end - 28 + i], "little") for i in (12, 16, 20))
+    at = end - size
+    begin = at - (32 if flags >> 31 else 0)
+    if size < 32 or begin < 0 or flags >> 31 and data[begin : begin + 8] != b"APETAGEX":
+        return None
+    tags = {}
+    for _ in range(count):
+        if at + 8 >= end - 32:
+            break
+        n = int.from_bytes(data[at : at + 4], "little")
+        stop = data.find(b"\0", at + 8, end)
+        if stop < 0:
+            break
+        tags[f"ape:{data[at + 8 : stop].decode('latin-1')}"] = data[stop + 1 : stop + 1 + n].decode("utf-8", "replace")
+        at = stop + 1 + n
+    return begin, tags
+
+
+def trailing_tags(data: bytes) -> list[tuple[int, dict[str, str]]]:
+    """Where audio may end, from the first place on, and the items of the ID3v1 and APEv2 tags after it. The last bytes of a
+    frame can look like a tag, so these are candidates only; the last one is the end of the data, without tags."""
+    found = {len(data): {}}
+    for end, tags in ((len(data), {}), _id3v1(data, len(data)) or (None, None)):
+        if end is not None:
+            found[end] = tags
+            if ape := _ape(data, end):
+                found[ape[0]] = tags | ape[1]
+    return sorted(found.items())
 
 
 def vbr_table(data: bytes, at: int, h: Header) -> dict | None:
@@ -213,15 +232,23 @@ class Stream:
 
 def parse(data: bytes) -> Stream:
     """All frames of a stream. A header counts if the next one follows where its size says, or the data end there;
-    otherwise the search goes on at the next byte, so damage costs the damaged frames only. Tables are not audio."""
+    otherwise the search goes on at the next byte, so damage costs the damaged frames only. Tables are not audio. Trailing
+    tags count only after the last whole frame: a frame that reaches past their place to another frame or end is a frame."""
     out = Stream()
     at, out.tags = id3v2(data)
-    end, more = trailing_tags(data)
-    out.tags |= more
+    ends = trailing_tags(data)
     locked = False
-    while at + 4 <= end:
+    while True:
+        end = ends[0][0]
         h = header(bytes(data[at : at + 4]))
         same = h and (out.first is None or (h.version, h.layer, h.rate) == (out.first.version, out.first.layer, out.first.rate))
+        if same and len(ends) > 1 and at + h.size > end:
+            after = header(bytes(data[at + h.size : at + h.size + 4]))
+            if at + h.size in (x for x, _ in ends[1:]) or after and (after.version, after.layer, after.rate) == (h.version, h.layer, h.rate):
+                ends.pop(0)
+                continue
+        if at + 4 > end:
+            break
         if not same or at + h.size > end:
             found, locked = data.find(b"\xff", at + 1, end), False
             out.skipped += (found if found > 0 else end) - at
@@ -248,6 +275,7 @@ def parse(data: bytes) -> Stream:
         at += h.size
     if at < end:
         out.skipped += end - at
+    out.tags |= ends[0][1]
     if out.first:
         out.duration = Fraction(out.samples, out.first.rate)
     return out

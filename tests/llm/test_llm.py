@@ -49,6 +49,24 @@ def test_audio_damage():
     assert s.seconds[0] == s.offsets[0]
 
 
+def test_audio_payload_like_tags():
+    """Payloads whose last bytes look like trailing tags come back whole, with and without real tags after them."""
+    ape = lambda size, flags=0: b"APETAGEX" + b"".join(n.to_bytes(4, "little") for n in (2000, size, 0, flags)) + bytes(8)
+    real = b"TAG" + b"song".ljust(125, b"\0")
+    texts = [b"x" * (n - 128) + b"TAG" + b"y" * 125 for n in (128, 576, 1152, 5760)]
+    texts += [b"x" * n + b"TAG" + b"y" * t for n, t in ((1024, 3), (448, 100), (3000 - 96, 40))]
+    texts += [b"x" * (n - 32) + b"APETAGEX" + b" is what a tag of APE holds " [:24] for n in (576, 1152, 5760)]
+    texts += [b"x" * (n - 32) + ape(size, flags) for n in (576, 5760) for size in (32, 600, 672, 1344, 3000, 10**6) for flags in (0, 1 << 31)]
+    for text in texts:
+        payload = audio.padded(text)
+        media = audio.encode(payload, len(text))
+        for more, tags in ((b"", 1), (real, 6), (ape(32), 1), (ape(32) + real, 6)):
+            s = audio.parse(media + more)
+            assert audio.read_payload(media + more, s) == payload and s.skipped == 0 and len(s.tags) == tags
+    cut = audio.parse(media[:-100] + real)
+    assert len(cut.offsets) == len(payload) // 576 - 1 and cut.tags["id3v1:title"] == "song" and cut.skipped == 572
+
+
 def test_audio_columns(spark):
     df = frame(spark, EDGE)
     got = {r["doc_id"]: r for r in audio.payload_digests(audio.store_texts(df)).collect()}
