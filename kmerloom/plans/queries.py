@@ -472,11 +472,23 @@ def interval_merge(c):
 # Walks, alignment and whole-genome products
 
 
+def _targets(pieces: DataFrame) -> DataFrame:
+    """(item_id, targets): a map of each item's (doc_id, name, t) in order of documents; of equal texts the first stands for all."""
+    kept = pieces.groupBy("item_id", "t").agg(F.min(F.struct("doc_id", "name")).alias("m"))
+    rows = kept.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("m.doc_id", "m.name", "t"))).alias("x"))
+    return rows.select("item_id", F.map_from_arrays("x.name", "x.t").alias("targets"))
+
+
+def _parents(c):
+    """(item_id, doc_id, first, last) of every parental document (colours 0 and 1) that shares k-mers with a truth sequence."""
+    return contigs.extents(c.truth_kmers, c.kmers.where("color in (0, 1)"), "item_id", "doc_id")
+
+
 @query()
 def tesserae(c):
-    best = contigs.best_overlap(c.truth_kmers, c.kmers, c.graph.select("ck").distinct(), "item_id", "doc_id")
-    rows = best.join(c.truth, best.a == F.col("item_id")).join(c.seqs.select(F.col("doc_id").alias("b"), F.col("seq").alias("t")), "b")
-    return align.mosaics(rows.select("item_id", F.col("seq").alias("query"), F.create_map(F.col("b").cast("string"), F.col("t")).alias("targets")), "item_id")
+    """Truth sequences as mosaics of all whole parental documents that share k-mers with them."""
+    pieces = _parents(c).join(c.seqs, "doc_id").select("item_id", "doc_id", F.col("doc_id").cast("string").alias("name"), F.col("seq").alias("t"))
+    return align.mosaics(c.truth.join(_targets(pieces), "item_id").select("item_id", F.col("seq").alias("query"), "targets"), "item_id")
 
 
 @query()
@@ -539,12 +551,12 @@ def f1_table(c):
 
 @query()
 def variant_calls(c):
-    """Truth sequences as children of the document that shares most k-mers, cut to what they share and 200 letters around."""
-    seen = c.graph.select("ck").distinct()
-    best = contigs.best_overlap(c.truth_kmers, c.kmers, seen, "item_id", "doc_id").select(F.col("a").alias("item_id"), F.col("b").alias("doc_id"))
-    spans = contigs.extents(c.truth_kmers, c.kmers, "item_id", "doc_id").join(best, ["item_id", "doc_id"], "left_semi")
-    parents = spans.join(c.seqs, "doc_id").select("item_id", F.create_map(F.concat(F.lit("sample"), F.col("color").cast("string"), F.lit(":"), F.col("doc_id").cast("string")), F.substr("seq", F.greatest(F.col("first") - 199, F.lit(1)), F.col("last") - F.greatest(F.col("first") - 200, F.lit(0)) + K + 200)).alias("targets"))
-    novel = c.truth_kmers.join(seen, "ck", "left_anti").groupBy("item_id").agg(F.collect_set("ck").alias("novel"))
+    """Truth sequences as children of all parental documents that share k-mers, each cut to what they share and 200 letters
+    around; novel are k-mers that no parent has."""
+    name = F.concat(F.lit("sample"), F.col("color").cast("string"), F.lit(":"), F.col("doc_id").cast("string"))
+    text = F.substr("seq", F.greatest(F.col("first") - 199, F.lit(1)), F.col("last") - F.greatest(F.col("first") - 200, F.lit(0)) + K + 200)
+    parents = _targets(_parents(c).join(c.seqs, "doc_id").select("item_id", "doc_id", name.alias("name"), text.alias("t")))
+    novel = c.truth_kmers.join(c.graph.where("color in (0, 1)").select("ck"), "ck", "left_anti").groupBy("item_id").agg(F.collect_set("ck").alias("novel"))
     rows = c.truth.join(parents, "item_id").join(novel, "item_id").select("item_id", F.col("seq").alias("query"), "targets", "novel", F.lit(0).alias("offset"))
     return calls.call_variants(rows, "item_id", K, 0.035, 0.90, 6e-4, 1e-3)
 
