@@ -386,6 +386,13 @@ def ed1_neighbours(c):
     return short.select("km", F.size(S.neighbours("km", 8)).cast("long").alias("neighbours"))
 
 
+@query("truth", f"SELECT km, count(*) AS places, any_value((SELECT count(DISTINCT left(km, i) || b || substr(km, i + 2, 7 - i)) FROM (SELECT unnest(range(0, 8)) AS i) CROSS JOIN (SELECT unnest(['A','C','G','T']) AS b) WHERE substr(km, i + 1, 1) <> b)) AS neighbours FROM (SELECT substr(seq, pos, 8) AS km FROM (SELECT seq, unnest(range(1, length(seq) - 6)) AS pos FROM truth)) GROUP BY km")
+def ed1_neighbours_all(c):
+    """The 8-mers of every place of every truth sequence; ed1_neighbours asks those that start a 21-mer."""
+    short = graph.kmerize(c.truth, 8, "seq", ("item_id",)).groupBy("km").agg(F.count("*").alias("places"))
+    return short.select("km", "places", F.size(S.neighbours("km", 8)).cast("long").alias("neighbours"))
+
+
 _AA = ", ".join(f"'{a}'" for a in S.CODE)
 
 
@@ -514,6 +521,14 @@ def reference_lookup(c):
     return align.find_exact(asked, c.seqs.select(F.col("doc_id").alias("contig"), "seq"), K).select("item_id", "contig", F.col("start").cast("long"), F.col("stop").cast("long"), "strand")
 
 
+@query("truth_kmers kmers", "SELECT t.item_id, t.pos, s.doc_id AS contig, s.pos + 1 AS start, s.pos + 21 AS stop, CASE WHEN s.km = t.km THEN '+' ELSE '-' END AS strand FROM truth_k t JOIN seqs_k s ON s.ck = t.ck")
+def reference_lookup_all(c):
+    """Loci of every k-mer of every truth sequence; reference_lookup asks the first one only."""
+    asked = c.truth_kmers.select("item_id", "pos", F.col("km").alias("seq"))
+    found = align.find_exact(asked, c.seqs.select(F.col("doc_id").alias("contig"), "seq"), K)
+    return found.select("item_id", F.col("pos").cast("long"), "contig", F.col("start").cast("long"), F.col("stop").cast("long"), "strand")
+
+
 @query()
 def map_truth(c):
     return align.map_by_kmers(c.truth, c.seqs.select(F.col("doc_id").alias("contig"), "seq"), K, "item_id")

@@ -27,3 +27,17 @@ def test_mosaics_over_two_parents(spark, tmp_path):
     assert [(r["name"], r["start"], r["stop"]) for r in sorted(rows, key=lambda r: r["row"])[1:]] == [("0", 100, 159), ("1", 150, 209)]
     calls = Q.queries()["variant_calls"](spark, at).where("kind = 'breakpoints'").collect()
     assert len(calls) == 2 and any("[sample1:1:" in r["alt"] for r in calls) and any("]sample0:0:" in r["alt"] for r in calls)
+
+
+def test_every_kmer_is_looked_up(spark, tmp_path):
+    docs, truth = {0: dna(120, 4), 1: dna(90, 5)}, {3: dna(60, 6) + dna(120, 4)[40:80], 4: dna(15, 7)}
+    at, made = folder(spark, tmp_path, docs, truth), Q.queries()
+    whole = {(r["item_id"], r["pos"], r["contig"], r["start"], r["strand"]) for r in made["reference_lookup_all"](spark, at).collect()}
+    turned = lambda s: s.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    asked = [(i, p, s[p : p + 21]) for i, s in truth.items() for p in range(len(s) - 20)]
+    assert whole == {(i, p, d, a + 1, x) for i, p, km in asked for d, s in docs.items() for a in range(len(s) - 20) for x, y in (("+", km), ("-", turned(km))) if s[a : a + 21] == y}
+    assert len(whole) >= 20
+    assert made["reference_lookup"](spark, at).count() == 0  # the first k-mer is nowhere
+    short = {r["km"]: (r["places"], r["neighbours"]) for r in made["ed1_neighbours_all"](spark, at).collect()}
+    places = [s[i : i + 8] for s in truth.values() for i in range(len(s) - 7)]
+    assert short == {x: (places.count(x), 24) for x in places}
