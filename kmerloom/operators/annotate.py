@@ -15,21 +15,14 @@ def _first_label(points: DataFrame, features: DataFrame, key: str, out: str) ->
 def annotate(calls: DataFrame, key: str, regions: DataFrame, genes: DataFrame, repeats: DataFrame, within: int = 100_000) -> DataFrame:
     """calls (chr, pos, key unique) with region (`core` where none), gene, genic, closest_gene (by start, at most `within` off) and
     repeat. Null positions match nothing."""
-    points = calls.select("chr", "pos", key)
+    points = calls.select(*dict.fromkeys(["chr", "pos", key]))
     rows = calls.join(_first_label(points, regions, key, "region"), key, "left").join(_first_label(points, genes, key, "gene"), key, "left")
     rows = rows.join(_first_label(points, repeats, key, "repeat"), key, "left")
-    near = intervals.nearest(points, genes, key, within).select(key, F.col("id").alias("closest_gene")) if key == "pos" else _nearest(points, genes, key, within)
+    near = intervals.nearest(points, genes, key, within).select(key, F.col("id").alias("closest_gene"))
     rows = rows.join(near, key, "left").withColumn("genic", F.col("gene").isNotNull())
     return rows.withColumn("region", F.coalesce(F.col("region").cast("string"), F.lit("core")))
 
 
-def _nearest(points: DataFrame, genes: DataFrame, key: str, within: int) -> DataFrame:
-    asked = points.select("chr", F.col(key).alias("_key"), F.col("pos").alias("start"), F.col("pos").alias("stop"))
-    spans = genes.select("chr", (F.col("start") - within).alias("start"), (F.col("start") + within).alias("stop"), F.col("start").alias("at"), "id")
-    pairs = intervals.overlaps(asked, spans, max(within, 1)).select("_key", F.abs(F.col("b_at") - F.col("start")).alias("d"), F.col("b_id").alias("id"))
-    return pairs.groupBy(F.col("_key").alias(key)).agg(F.min(F.struct("d", "id")).alias("m")).select(key, F.col("m.id").alias("closest_gene"))
-
-
 def positional_match(called: DataFrame, truth: DataFrame, key: str, allowed: dict[str, int], default: int = 500) -> DataFrame:
     """(key, truth_id, distance): the nearest truth variant (chr, pos, type, id) of the same type, within the type's distance.
 

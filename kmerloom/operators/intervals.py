@@ -21,12 +21,25 @@ def contained(a: DataFrame, b: DataFrame, size: int = 1000) -> DataFrame:
     return overlaps(a, b, size).where("b_start >= start and b_stop <= stop")
 
 
-def nearest(points: DataFrame, features: DataFrame, key: str, within: int) -> DataFrame:
-    """Each point (chr, pos, key) with the feature (chr, start, id) of least |start - pos| <= within, the least id in a tie."""
-    asked = points.select("chr", F.col(key).alias("_key"), F.col("pos").alias("start"), F.col("pos").alias("stop"))
-    f = features.select("chr", (F.col("start") - within).alias("start"), (F.col("start") + within).alias("stop"), F.col("start").alias("at"), "id")
-    pairs = overlaps(asked, f, max(within, 1)).select("_key", F.abs(F.col("b_at") - F.col("start")).alias("distance"), F.col("b_id").alias("id"))
-    best = pairs.groupBy("_key").agg(F.min(F.struct("distance", "id")).alias("m"))
+def nearest(points: DataFrame, features: DataFrame, key: str, within: int, size: int = 1000) -> DataFrame:
+    """Each point (chr, pos, key) with the feature (chr, start, id) of least |start - pos| <= within, the least id in a tie.
+
+    Only the last start up to a place and the first one from it on can be nearest. They are found among the distinct places
+    of a bin and, where the bin has none, by running ends over the bins, so work does not grow with `within`.
+    """
+    bin_of = lambda x: F.floor(F.col(x) / size).alias("_bin")
+    starts = features.where("start is not null").groupBy("chr", "start").agg(F.min("id").alias("id")).select("chr", F.col("start").alias("_at"), F.struct("start", "id").alias("_f"))
+    places = points.where("pos is not null").select("chr", F.col("pos").alias("_at")).distinct()
+    rows = places.withColumn("_f", F.lit(None).cast(starts.schema["_f"].dataType)).unionByName(starts).select("chr", "_at", "_f", bin_of("_at"))
+    order = Window.partitionBy("chr", "_bin").orderBy("_at")
+    rows = rows.withColumn("_a", F.last("_f", True).over(order.rangeBetween(Window.unboundedPreceding, 0))).withColumn("_z", F.first("_f", True).over(order.rangeBetween(0, Window.unboundedFollowing)))
+    bins = rows.groupBy("chr", "_bin").agg(F.max("_f").alias("_hi"), F.min("_f").alias("_lo"))
+    order = Window.partitionBy("chr").orderBy("_bin")
+    bins = bins.select("chr", "_bin", F.last("_hi", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_b"), F.first("_lo", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("_y"))
+    asked = rows.where("_f is null").join(bins, ["chr", "_bin"]).select("chr", "_at", F.explode(F.array(F.coalesce("_a", "_b"), F.coalesce("_z", "_y"))).alias("f")).where("f is not null")
+    found = asked.select("chr", "_at", F.struct(F.abs(F.col("f.start") - F.col("_at")).alias("distance"), F.col("f.id").alias("id")).alias("m")).where(F.col("m.distance") <= within)
+    found = found.groupBy("chr", "_at").agg(F.min("m").alias("m"))
+    best = points.select("chr", F.col("pos").alias("_at"), F.col(key).alias("_key")).join(found, ["chr", "_at"]).groupBy("_key").agg(F.min("m").alias("m"))
     return best.select(F.col("_key").alias(key), F.col("m.id").alias("id"), F.col("m.distance").alias("distance"))
 
 

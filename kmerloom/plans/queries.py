@@ -465,6 +465,12 @@ def nearest_feature(c):
     return intervals.nearest(c.variants, c.features, "pos", 100)
 
 
+@query("features variants", "SELECT pos, arg_min(id, (d, id)) AS id, min(d) AS distance FROM (SELECT v.pos, f.id, abs(f.start - v.pos) AS d FROM variants v JOIN features f ON f.chr = v.chr AND f.start BETWEEN v.pos - 100000 AND v.pos + 100000) GROUP BY pos")
+def nearest_feature_far(c):
+    """The nearest feature within the reference's 100,000 positions; nearest_feature looks 100 positions far."""
+    return intervals.nearest(c.variants, c.features, "pos", 100_000)
+
+
 @query("variants", "SELECT pos FROM variants v WHERE event_type = 'purchase' AND NOT EXISTS (SELECT 1 FROM variants o WHERE o.event_type <> 'purchase' AND o.chr = v.chr AND o.pos BETWEEN v.pos - 5 AND v.pos + 5)")
 def variant_window_anti(c):
     return intervals.none_within(c.variants.where("event_type = 'purchase'"), c.variants.where("event_type <> 'purchase'"), "pos", 5).select("pos")
@@ -663,6 +669,19 @@ def annotate_calls(c):
     return annotate.annotate(c.variants.select("chr", "pos"), "pos", part(1), part(2), part(3), 100).select("pos", "region", "gene", "closest_gene", "genic")
 
 
+_ROLE = "(SELECT v.pos, min(f.id) AS id FROM variants v JOIN features f ON f.chr = v.chr AND f.id % 3 = {0} AND f.start <= v.pos AND f.stop >= v.pos GROUP BY v.pos)"
+
+
+@query("features variants", f"""SELECT v.pos, coalesce(CAST(r.id AS VARCHAR), 'core') AS region, g.id AS gene, p.id AS repeat, n.closest_gene, g.id IS NOT NULL AS genic FROM variants v
+  LEFT JOIN {_ROLE.format(0)} r ON r.pos = v.pos LEFT JOIN {_ROLE.format(1)} g ON g.pos = v.pos LEFT JOIN {_ROLE.format(2)} p ON p.pos = v.pos
+  LEFT JOIN (SELECT pos, arg_min(id, (d, id)) AS closest_gene FROM (SELECT v.pos, f.id, abs(f.start - v.pos) AS d FROM variants v JOIN features f ON f.chr = v.chr AND f.id % 3 = 1 AND f.start BETWEEN v.pos - 100000 AND v.pos + 100000) GROUP BY pos) n ON n.pos = v.pos""")
+def annotate_all_calls(c):
+    """Every feature as a region, gene or repeat (id mod 3), closest genes within the reference's 100,000 positions, and the
+    repeat; annotate_calls takes three tenths of the ids, 100 positions and no repeat."""
+    part = lambda i: c.features.where(F.col("id") % 3 == i)
+    return annotate.annotate(c.variants.select("chr", "pos"), "pos", part(0), part(1), part(2)).select("pos", "region", "gene", "repeat", "closest_gene", "genic")
+
+
 @query("variants", """SELECT id, arg_min(other, (d, other)) AS truth_id, min(d) AS distance FROM (SELECT a.pos AS id, b.pos AS other, abs(a.pos - b.pos) AS d FROM variants a JOIN variants b ON b.chr = a.chr
   AND b.event_type = a.event_type AND a.user_id % 2 = 0 AND b.user_id % 2 = 1 AND abs(a.pos - b.pos) < CASE a.event_type WHEN 'click' THEN 10 ELSE 50 END) GROUP BY id""")
 def truth_match(c):

@@ -41,3 +41,25 @@ def test_every_kmer_is_looked_up(spark, tmp_path):
     short = {r["km"]: (r["places"], r["neighbours"]) for r in made["ed1_neighbours_all"](spark, at).collect()}
     places = [s[i : i + 8] for s in truth.values() for i in range(len(s) - 7)]
     assert short == {x: (places.count(x), 24) for x in places}
+
+
+def test_every_feature_annotates(spark, tmp_path):
+    """Against brute force, with genes up to 100,000 positions off, ties, empty bins and line numbers over 3."""
+    rng = random.Random(8)
+    lines = sorted({(rng.randrange(400_000), rng.randrange(1, 8)) for _ in range(60)})
+    lines = [(o, n, rng.randrange(10), float(rng.randrange(1, 50))) for o, n in lines] + [(250_000, 6, 1, 5.0), (250_000, 7, 1, 5.0), (250_020, 4, 1, 9.0)]
+    events = [(e, rng.randrange(10), "x") for e in sorted(rng.sample(range(600_000), 150))] + [(250_010, 1, "x"), (250_000, 1, "x")]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string").dropDuplicates(["event_id"]).write.parquet(f"{tmp_path}/events.parquet")
+    feats = [(s % 5, o, o + int(q), o * 10 + n) for o, n, s, q in lines]
+    got = {r["pos"]: r for r in Q.queries()["annotate_all_calls"](spark, str(tmp_path)).collect()}
+    far = {r["pos"]: (r["distance"], r["id"]) for r in Q.queries()["nearest_feature_far"](spark, str(tmp_path)).collect()}
+    assert set(got) == {e for e, _, _ in events}
+    for pos, row in got.items():
+        chr_ = next(u % 5 for e, u, _ in events if e == pos)
+        over = [min((f[3] for f in feats if f[0] == chr_ and f[3] % 3 == i and f[1] <= pos <= f[2]), default=None) for i in range(3)]
+        near = [(abs(f[1] - pos), f[3]) for f in feats if f[0] == chr_ and abs(f[1] - pos) <= 100_000]
+        assert (row["region"], row["gene"], row["repeat"], row["genic"]) == (str(over[0]) if over[0] else "core", over[1], over[2], over[1] is not None)
+        assert row["closest_gene"] == min((x for x in near if x[1] % 3 == 1), default=(0, None))[1]
+        assert far.get(pos) == min(near, default=None)
+    assert any(r["repeat"] for r in got.values()) and any(100 < d for d, _ in far.values())
