@@ -8,10 +8,11 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kmerloom.functions.sequence import canonical
+from kmerloom.functions import masks
+from kmerloom.functions.sequence import canonical, complement
 from kmerloom.operators.graph import next_kmers
 from kmerloom.plans.components import components
 from kmerloom.plans.runtime import cut
@@ -406,3 +407,83 @@ def walk_truth(graph: DataFrame, kmers: DataFrame, colors: list[int]) -> DataFra
     rows = graph.where(F.col("color").isin(*colors)).join(at, "ck").join(used, "component", "left_semi")
     seeds = seeds.toDF(*seeds.columns)  # new column identities on either side
     return walk_seeds(rows.select("component", "ck", "color", "cov", "in_mask", "out_mask").toDF("component", "ck", "color", "cov", "in_mask", "out_mask"), seeds, colors)
+
+
+def link_rows(graph: DataFrame, kmers: DataFrame, read: str) -> DataFrame:
+    """build_links over whole tables: (ck, color, is_fw, choices, reads) from the k-mers (read, color, pos, km, ck, pb, nb) of
+    graph.kmerize, threaded through the graph of their colour in both directions."""
+    flip = F.col("ck") != F.col("km")
+    degrees = graph.select("ck", "color", masks.degree(F.col("in_mask")).alias("_i"), masks.degree(F.col("out_mask")).alias("_o")).where("_i > 1 or _o > 1")
+    at = kmers.join(degrees, ["ck", "color"])
+    at = at.select(read, "color", "pos", "km", "pb", "nb", F.when(flip, F.col("_o")).otherwise(F.col("_i")).alias("ins"), F.when(flip, F.col("_i")).otherwise(F.col("_o")).alias("outs"))
+    ahead = F.when((F.col("outs") > 1) & F.col("nb").isNotNull(), F.struct("pos", F.col("nb").alias("b")))
+    behind = F.when((F.col("ins") > 1) & F.col("pb").isNotNull(), F.struct("pos", complement("pb").alias("b")))
+    forks = at.groupBy(read, "color").agg(F.array_sort(F.collect_list(ahead)).alias("ahead"), F.reverse(F.array_sort(F.collect_list(behind))).alias("behind"))
+    rows = at.join(forks, [read, "color"])
+    text = lambda xs: F.array_join(F.transform(xs, lambda x: x["b"]), "")
+
+    def made(key: Column, on: Column, xs: Column) -> DataFrame:
+        return rows.where(on).select(read, "color", key.alias("key"), text(xs).alias("choices"))
+
+    size = F.length("km") - 1
+    fore = made(F.concat("pb", F.substr("km", F.lit(1), size)), (F.col("ins") > 1) & F.col("pb").isNotNull(), F.filter("ahead", lambda x: x["pos"] >= F.col("pos") - 1))
+    turned = F.reverse(complement(F.concat(F.substr("km", F.lit(2), size), F.col("nb"))))
+    back = made(turned, (F.col("outs") > 1) & F.col("nb").isNotNull(), F.filter("behind", lambda x: x["pos"] <= F.col("pos") + 1))
+    links = fore.union(back).where("choices <> ''").select(read, "color", canonical("key").alias("ck"), (canonical("key") == F.col("key")).alias("is_fw"), "choices").distinct()
+    return links.groupBy("ck", "color", "is_fw", "choices").agg(F.count("*").alias("reads"))
+
+
+def color_components(graph: DataFrame) -> DataFrame:
+    """(ck, color, component): connected k-mers of each colour by itself."""
+    node = lambda x: F.xxhash64(x, "color")
+    found = components(next_kmers(graph).select(node(canonical("km")).alias("u"), node(canonical("next")).alias("v")).distinct())
+    return graph.select("ck", "color", node("ck").alias("node")).join(found, "node", "left").select("ck", "color", F.coalesce("component", "node").alias("component"))
+
+
+def _of_component(left: pd.DataFrame) -> tuple[LocalGraph, dict, list[int]]:
+    graph = LocalGraph(left[["ck", "color", "cov", "in_mask", "out_mask"]].itertuples(index=False, name=None))
+    links = {ck: {(x[0] == "+", x[1:]) for x in xs} for ck, xs in zip(left["ck"], left["links"]) if xs is not None}
+    return graph, links, sorted(set(left["color"]))
+
+
+def _rows_at(graph: DataFrame, at: DataFrame, links: DataFrame, asked: DataFrame) -> DataFrame:
+    """Graph rows and links of the components that are asked, a row a k-mer."""
+    held = links.groupBy("ck", "color").agg(F.collect_set(F.concat(F.when(F.col("is_fw"), "+").otherwise("-"), "choices")).alias("links"))
+    rows = graph.join(at, ["ck", "color"]).join(asked.select("component").distinct(), "component", "left_semi").join(held, ["ck", "color"], "left")
+    return rows.select("component", "ck", "color", "cov", "in_mask", "out_mask", "links")
+
+
+def walk_linked(graph: DataFrame, at: DataFrame, links: DataFrame, kmers: DataFrame) -> DataFrame:
+    """(seed, color, contig): link-guided walks in each colour from all `kmers` that it covers; `at` is color_components.
+
+    A colour's component meets in one task.
+    """
+
+    def kernel(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        graph, links, colors = _of_component(left)
+        return pd.DataFrame({"seed": right["seed"], "color": right["color"], "contig": [contig(walk(graph, s, colors, links=links)) for s in right["seed"]]})
+
+    seeds = kmers.select("ck").distinct().join(at, "ck").select(F.col("component").alias("_at"), F.col("ck").alias("seed"), "color")
+    rows = _rows_at(graph, at, links, seeds.withColumnRenamed("_at", "component"))
+    return rows.groupBy("component").cogroup(seeds.groupBy("_at")).applyInPandas(kernel, "seed string, color int, contig string")
+
+
+def gaps_filled(graph: DataFrame, at: DataFrame, kmers: DataFrame, key: str, most: int = 1000) -> DataFrame:
+    """(key, color, start, stop, seq) of each gap of a colour in a sequence's k-mers (key, pos, km, ck): the shortest path from the
+    last k-mer before to the first one after, of at most `most` steps; null where there is none."""
+
+    def kernel(_: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        graph, _, colors = _of_component(left)
+        return right[["_key", "color", "start", "stop"]].assign(seq=[fill_gap(graph, a, b, colors, most) for a, b in zip(right["a"], right["b"])])
+
+    order = Window.partitionBy(key, "color").orderBy("pos")
+    after = F.lead(F.struct("pos", "km", "component")).over(order)
+    gaps = kmers.join(at, "ck").withColumn("z", after).where("z.pos > pos + 1")
+    gaps = gaps.select(F.col(key).alias("_key"), "color", F.col("pos").alias("start"), F.col("z.pos").alias("stop"), F.col("km").alias("a"), F.col("z.km").alias("b"), "component", (F.col("z.component") == F.col("component")).alias("_same"))
+    near = gaps.where("_same").withColumnRenamed("component", "_at")
+    none = graph.select("ck", "color", F.lit(True).alias("is_fw"), F.lit("").alias("choices")).limit(0)
+    kind = {f.name: f.dataType.simpleString() for f in gaps.schema}
+    rows = _rows_at(graph, at, none, near.withColumnRenamed("_at", "component"))
+    out = rows.groupBy("component").cogroup(near.groupBy("_at")).applyInPandas(kernel, f"_key {kind['_key']}, color int, start {kind['start']}, stop {kind['stop']}, seq string")
+    far = gaps.where("not _same").select("_key", "color", "start", "stop", F.lit(None).cast("string").alias("seq"))
+    return out.unionByName(far).withColumnRenamed("_key", key)

@@ -7,7 +7,7 @@ texts are truth sequences, lineitem rows are features, events are variants. Whol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kmerloom.operators import contigs, filters, graph
+from kmerloom.operators import contigs, filters, graph, traverse
 from kmerloom.plans.runtime import cut
 
 K = 21
@@ -64,6 +64,14 @@ class Catalog:
     def truth_kmers(self) -> DataFrame:
         return self._once("truth_kmers", lambda: graph.kmerize(self.truth, K, "seq", ("item_id",)))
 
+    @property
+    def links(self) -> DataFrame:
+        return self._once("links", lambda: traverse.link_rows(self.graph, self.kmers, "doc_id"))
+
+    @property
+    def color_components(self) -> DataFrame:
+        return self._once("components", lambda: traverse.color_components(self.graph))
+
     @property
     def lengths(self) -> DataFrame:
         return self.contigs.select("doc_id", F.length("seq").alias("len"))

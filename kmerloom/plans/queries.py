@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.functions import masks
 from kmerloom.functions import sequence as S
-from kmerloom.operators import align, annotate, calls, clean, contigs, evaluate, filters, graph, inheritance, intervals, simulate, unitigs
+from kmerloom.operators import align, annotate, calls, clean, contigs, evaluate, filters, graph, inheritance, intervals, simulate, traverse, unitigs
 from kmerloom.plans.catalog import K, Catalog, sql
 
 _QUERIES: dict[str, Callable[[Catalog], DataFrame]] = {}
@@ -497,6 +497,28 @@ def _parents(c):
     return contigs.extents(c.truth_kmers, c.kmers.where("color in (0, 1)"), "item_id", "doc_id")
 
 
+@query()
+def link_build(c):
+    """Junction choices of all documents in the graph of their colour."""
+    return c.links
+
+
+@query()
+def link_lookup(c):
+    return c.truth_kmers.select("item_id", "pos", "km", "ck").join(c.links, "ck").select("item_id", "pos", "km", "color", "is_fw", "choices", "reads")
+
+
+@query()
+def walk_links(c):
+    """Link-guided contigs in each colour around all truth k-mers that it has."""
+    return traverse.walk_linked(c.graph, c.color_components, c.links, c.truth_kmers)
+
+
+@query()
+def gap_fill(c):
+    return traverse.gaps_filled(c.graph, c.color_components, c.truth_kmers.select("item_id", "pos", "km", "ck"), "item_id")
+
+
 @query()
 def tesserae(c):
     """Truth sequences as mosaics of all whole parental documents that share k-mers with them."""

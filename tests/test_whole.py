@@ -2,6 +2,7 @@
 
 import random
 
+from kmerloom.operators.traverse import LocalGraph, build_links, contig, fill_gap, low, walk
 from kmerloom.plans import queries as Q
 
 _LETTERS = str.maketrans("ACGT", "abcd")
@@ -63,3 +64,33 @@ def test_every_feature_annotates(spark, tmp_path):
         assert row["closest_gene"] == min((x for x in near if x[1] % 3 == 1), default=(0, None))[1]
         assert far.get(pos) == min(near, default=None)
     assert any(r["repeat"] for r in got.values()) and any(100 < d for d, _ in far.values())
+
+
+def test_links_walks_and_gaps(spark, tmp_path):
+    """Whole-table links, walks and gaps are those of the in-memory functions; links pass a repeat that stops a plain walk."""
+    again, a = dna(30, 9), [dna(40, i) for i in range(10, 18)]
+    docs = {0: a[0] + again + a[1] + again + a[2], 3: a[3] + again + a[4], 1: a[5] + again + a[6], 4: a[7] + again + a[6], 2: dna(80, 19)}
+    truth = {5: docs[0][:60], 6: a[7] + again + a[6], 7: a[0][:30] + dna(25, 20) + a[1][5:35]}
+    at, made = folder(spark, tmp_path, docs, truth), Q.queries()
+    local = LocalGraph.of([(i % 3, s) for i, s in docs.items()], 21)
+    links = [{}, {}, {}]
+    for i, s in docs.items():
+        for ck, xs in build_links(local, [s], 21, i % 3).items():
+            links[i % 3].setdefault(ck, set()).update(xs)
+    whole = {(ck, c, *x) for c in range(3) for ck, xs in links[c].items() for x in xs}
+    assert whole and {(r["ck"], r["color"], r["is_fw"], r["choices"]) for r in made["link_build"](spark, at).collect()} == whole
+    asked = [(i, p, s[p : p + 21]) for i, s in truth.items() for p in range(len(s) - 20)]
+    found = {(r["item_id"], r["pos"], r["color"], r["is_fw"], r["choices"]) for r in made["link_lookup"](spark, at).collect()}
+    assert found == {(i, p, c, *x) for i, p, km in asked for c in range(3) for x in links[c].get(low(km), ())}
+    walks = {(r["seed"], r["color"]): r["contig"] for r in made["walk_links"](spark, at).collect()}
+    seeds = {(low(km), c) for _, _, km in asked for c in range(3) if local.covered(km, [c])}
+    assert walks == {(s, c): contig(walk(local, s, [c], links=links[c])) for s, c in seeds}
+    assert any(len(x) > len(contig(walk(local, s, [c]))) for (s, c), x in walks.items())
+    assert docs[0] in walks[low(docs[0][:21]), 0] or docs[0] in walks[low(docs[0][:21]), 0].translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    gaps = {(r["item_id"], r["color"], r["start"], r["stop"]): r["seq"] for r in made["gap_fill"](spark, at).collect()}
+    expected = {}
+    for i, s in truth.items():
+        for c in range(3):
+            has = [p for j, p, km in asked if j == i and local.covered(km, [c])]
+            expected |= {(i, c, x, y): fill_gap(local, s[x : x + 21], s[y : y + 21], [c]) for x, y in zip(has, has[1:]) if y > x + 1}
+    assert gaps == expected and any(gaps.values())
