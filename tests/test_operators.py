@@ -96,7 +96,22 @@ def test_import_without_session():
     assert "novel_kmers" in __spark_entry__.queries() and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["novel_kmers", "n50", "interval_merge"])
+def test_without_training_data_operators(tmp_path):
+    """The rest runs where the subpackage of training-data operators and its tests are gone, with or without the pipeline."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", "spark-warehouse"))
+    check = "import __spark_entry__ as e; q = e.queries(); assert 'novel_kmers' in q and not [x for x in q if x.startswith('op') or x == 'pipeline']; assert set(e.oracle_sql()) <= set(q)"
+    for _ in range(2):
+        subprocess.run([sys.executable, "-c", check], cwd=tmp_path / "copy", check=True, env={**os.environ, "PYTHONPATH": str(tmp_path / "copy")})
+        (tmp_path / "copy" / "corpus_pipeline.py").unlink(missing_ok=True)
+
+
+@pytest.mark.parametrize("name", ["novel_kmers", "n50", "interval_merge", "tips", "gfa_links", "f1_table", "truth_alleles", "consistent_edges", "infer_edges", "kmer_pair_matrix"])
 def test_queries_against_duckdb(spark, name):
     import duckdb
 
