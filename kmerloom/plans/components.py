@@ -11,15 +11,29 @@ def _mark(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_least(edges: DataFrame, least: DataFrame, hubs: DataFrame) -> DataFrame:
+    """edges (u, v) with the m of their u from least (u, m, n). Rows of hubs, of which there are few, meet a broadcast table and
+    scatter over the tasks of the other rows' join, so no node's rows gather in one task."""
+    marked = edges.join(F.broadcast(hubs.select(F.col("u").alias("_hub"), F.col("m").alias("_hm"))), F.col("u") == F.col("_hub"), "left")
+    marked = marked.withColumn("_key", F.when(F.col("_hub").isNull(), F.col("u")).otherwise(F.xxhash64("v")))
+    found = marked.join(least.select(F.col("u").alias("_node"), "m"), F.col("_key") == F.col("_node"), "left")
+    return found.select("u", "v", F.coalesce("_hm", "m").alias("m"))
+
+
+def _hubs(least: DataFrame, edges: int) -> DataFrame:
+    """Nodes with more than a five-hundredth of the edges' ends: under 1000, whatever the input."""
+    return least.where(F.col("n") > max(16, edges // 500))
+
+
+def _large_star(edges: DataFrame, count: int) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return _with_least(both.where("v > u"), least, _hubs(least, count)).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+def _small_star(edges: DataFrame, count: int) -> DataFrame:
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = _with_least(edges, least, _hubs(least, count)).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -27,7 +41,8 @@ def components(edges: DataFrame, src: str = "u", dst: str = "v") -> DataFrame:
     """(node, component) for every node of an undirected edge list; component is its least node.
 
     Loops and repeated edges are harmless, rows with a null end are no edges, an empty list gives no rows.
-    Each round joins edges with one minimum a node, made with map-side partial sums; no neighbourhood is collected.
+    Each round joins edges with one minimum a node, made with map-side partial sums; no neighbourhood is collected, and a
+    hub's edges are spread over all tasks.
     Rounds grow with the logarithm of the node count, and each is cut by a written table.
     """
     edges = cut(
@@ -38,7 +53,7 @@ def components(edges: DataFrame, src: str = "u", dst: str = "v") -> DataFrame:
     )
     mark = _mark(edges)
     while mark[0]:
-        after = cut(_small_star(_large_star(edges)), "edges")
+        after = cut(_small_star(_large_star(edges, mark[0]), mark[0]), "edges")
         now = _mark(after)
         release(edges)
         edges = after
