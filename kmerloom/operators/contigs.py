@@ -3,6 +3,9 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kmerloom.functions.sequence import reverse_complement
+from kmerloom.operators.graph import next_kmers
+
 
 def membership(kmers: DataFrame, rois: DataFrame) -> DataFrame:
     """Contig k-mers with a flag `novel`."""
@@ -128,3 +131,13 @@ def best_overlap(left: DataFrame, right: DataFrame, rois: DataFrame, a: str, b:
 def extents(kmers: DataFrame, contig_kmers: DataFrame, read: str, name: str) -> DataFrame:
     """For each read and contig the first and last contig position of a shared k-mer."""
     return kmers.select(read, "ck").distinct().join(contig_kmers.select(name, "ck", "pos"), "ck").groupBy(read, name).agg(F.min("pos").alias("first"), F.max("pos").alias("last"))
+
+
+def end_links(seqs: DataFrame, graph: DataFrame, name: str, k: int) -> DataFrame:
+    """(a, a_strand, b, b_strand): contigs whose last k-mer has an edge, in the one-colour graph, to the first k-mer of another or of
+    the same, each contig in both directions."""
+    whole = seqs.where(F.length("seq") >= k)
+    both = whole.select(name, F.lit("+").alias("strand"), "seq").union(whole.select(name, F.lit("-").alias("strand"), reverse_complement("seq").alias("seq")))
+    first = both.select(F.col(name).alias("b"), F.col("strand").alias("b_strand"), F.left("seq", F.lit(k)).alias("next"))
+    last = both.select(F.col(name).alias("a"), F.col("strand").alias("a_strand"), F.right("seq", F.lit(k)).alias("km"))
+    return last.join(next_kmers(graph).select("km", "next"), "km").join(first, "next").select("a", "a_strand", "b", "b_strand")

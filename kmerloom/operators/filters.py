@@ -15,9 +15,11 @@ def coverage(graph: DataFrame, colors: list[int]) -> DataFrame:
 
 
 def novel(graph: DataFrame, child: int, parents: list[int]) -> DataFrame:
-    """The child's rows whose k-mers no parent covers."""
-    inherited = graph.where(F.col("color").isin(*parents) & (F.col("cov") > 0)).select("ck")
-    return graph.where((F.col("color") == child) & (F.col("cov") > 0)).join(inherited, "ck", "left_anti")
+    """The child's rows whose k-mers no parent covers: one pass and one shuffle, with partial maxima."""
+    own = (F.col("color") == child) & (F.col("cov") > 0)
+    kept = [c for c in graph.columns if c not in ("ck", "color")]
+    rows = graph.groupBy("ck").agg(F.max(F.when(own, F.col("color"))).alias("color"), F.max(F.when(F.col("color").isin(*parents) & (F.col("cov") > 0), 1).otherwise(0)).alias("_p"), *[F.max(F.when(own, F.col(c))).alias(c) for c in kept])
+    return rows.where("color is not null and _p = 0").select(*graph.columns)
 
 
 def low_coverage(rois: DataFrame, least: int = 10) -> DataFrame:

@@ -4,18 +4,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kmerloom.functions import masks
-from kmerloom.functions.sequence import canonical, complement, reverse_complement, window
-
-
-def kmerize(seqs: DataFrame, k: int, seq: str = "seq", keep: tuple[str, ...] = ()) -> DataFrame:
-    """keep columns, pos (0-based), km, ck, and the letters before (pb) and after (nb) of every k-mer of upper-case A, C, G, T.
-
-    Sequences shorter than k and null ones have no k-mer; k-mers with other letters are left out.
-    """
-    rows = seqs.where(F.length(seq) >= k).select(*keep, F.upper(seq).alias("_s"))
-    rows = rows.select(*keep, F.col("_s"), F.explode(F.sequence(F.lit(0), F.length("_s") - k)).alias("pos"))
-    rows = rows.select(*keep, "pos", window("_s", F.col("pos"), k).alias("km"), F.when(F.col("pos") > 0, window("_s", F.col("pos") - 1, 1)).alias("pb"), F.when(F.col("pos") + k < F.length("_s"), window("_s", F.col("pos") + k, 1)).alias("nb"))
-    return rows.where(~F.col("km").rlike("[^ACGT]")).withColumn("ck", canonical("km"))
+from kmerloom.functions.sequence import canonical, complement, reverse_complement
+from kmerloom.operators.kmers import counted, kmerize
 
 
 def build(kmers: DataFrame, color: str = "color") -> DataFrame:
@@ -124,3 +114,6 @@ def color_of(colors: DataFrame, name: Column) -> DataFrame:
     """The colour of a sample by its name without case, if one has it."""
     found = colors.where(F.lower("sample_name") == F.lower(name)).agg(F.count("*").alias("n"), F.min("color").alias("c"))
     return found.select(F.when(F.col("n") == 1, F.col("c")).otherwise(-1).alias("color"))
+
+
+__all__ = ["between", "build", "color_of", "counted", "from_text", "head", "infer_edges", "join", "kmerize", "lookup", "next_kmers", "numbered", "oriented", "prev_kmers", "remove", "tail", "text", "wide"]

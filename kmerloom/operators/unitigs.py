@@ -52,8 +52,3 @@ def unitigs(graph: DataFrame) -> DataFrame:
     seq = F.concat("head", F.array_join(F.transform(F.expr("slice(p, 2, size(p))"), lambda x: x["b"]), ""))
     paths = paths.select(seq.alias("seq"), F.size("p").alias("kmers"))
     return paths.where(F.col("seq") <= reverse_complement("seq"))
-
-
-def tips(graph: DataFrame, rois: DataFrame) -> DataFrame:
-    """Novel k-mers at a dead end: covered by nothing before or nothing after."""
-    return rois.where((F.col("in_mask") == 0) | (F.col("out_mask") == 0))

@@ -16,7 +16,7 @@ _kept: dict[tuple, DataFrame] = {}
 
 
 class Catalog:
-    """Lazily derived tables of one folder; k-mers, the graph and novel k-mers are written once for each session and folder."""
+    """Lazily derived tables of one folder; the graph and novel k-mers are written once for each session and folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -42,11 +42,17 @@ class Catalog:
 
     @property
     def kmers(self) -> DataFrame:
-        return self._once("kmers", lambda: graph.kmerize(self.seqs, K, "seq", ("doc_id", "color")))
+        """One row a letter: made anew by each query that asks, never written."""
+        return graph.kmerize(self.seqs, K, "seq", ("doc_id", "color"))
+
+    @property
+    def marks(self) -> DataFrame:
+        """kmers with places and canonical k-mers only."""
+        return graph.kmerize(self.seqs, K, "seq", ("doc_id", "color"), ("pos", "ck"))
 
     @property
     def graph(self) -> DataFrame:
-        return self._once("graph", lambda: graph.build(self.kmers))
+        return self._once("graph", lambda: graph.counted(self.seqs, K))
 
     @property
     def rois(self) -> DataFrame:
@@ -58,7 +64,7 @@ class Catalog:
 
     @property
     def contig_kmers(self) -> DataFrame:
-        return self.kmers.where("color = 2")
+        return graph.kmerize(self.contigs, K, "seq", ("doc_id", "color"), ("pos", "km", "ck"))
 
     @property
     def truth_kmers(self) -> DataFrame:
@@ -94,13 +100,17 @@ _RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
 
 
 def _kmers(name: str, keep: str) -> str:
-    return f"""{name}_i AS (SELECT *, unnest(range(0, length(seq) - {K} + 1)) AS pos FROM {name} WHERE length(seq) >= {K}),
-{name}_k AS (SELECT {keep}, pos, substr(seq, pos + 1, {K}) AS km, least(substr(seq, pos + 1, {K}), reverse(translate(substr(seq, pos + 1, {K}), 'ACGT', 'TGCA'))) AS ck,
-  CASE WHEN pos > 0 THEN substr(seq, pos, 1) END AS pb, CASE WHEN pos + {K} < length(seq) THEN substr(seq, pos + {K} + 1, 1) END AS nb FROM {name}_i)"""
+    """K-mers of every place: texts go through in pieces of 256 places, with a blank at either end, so no place is searched from afar."""
+    return f"""{name}_p AS (SELECT *, unnest(range(0, length(seq) - {K} + 1, 256)) AS low FROM {name} WHERE length(seq) >= {K}),
+{name}_q AS (SELECT {keep}, low, length(seq) - {K} + 1 - low AS n, substr(' ' || seq || ' ', low + 1, {K + 257}) AS piece FROM {name}_p),
+{name}_i AS (SELECT {keep}, low, piece, unnest(range(0, least(256, n))) AS j FROM {name}_q),
+{name}_m AS (SELECT {keep}, low + j AS pos, substr(piece, j + 2, {K}) AS km, nullif(substr(piece, j + 1, 1), ' ') AS pb, nullif(substr(piece, j + {K + 2}, 1), ' ') AS nb FROM {name}_i),
+{name}_k AS (SELECT {keep}, pos, km, least(km, reverse(translate(km, 'ACGT', 'TGCA'))) AS ck, pb, nb FROM {name}_m)"""
 
 
-def _bit(x: str) -> str:
-    return f"CASE {x} WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 WHEN 'T' THEN 8 ELSE 0 END"
+def _bit(x: str, letters: str = "ACGT") -> str:
+    a, c, g, t = letters
+    return f"CASE {x} WHEN '{a}' THEN 1 WHEN '{c}' THEN 2 WHEN '{g}' THEN 4 WHEN '{t}' THEN 8 ELSE 0 END"
 
 
 _CTE = {
@@ -108,11 +118,12 @@ _CTE = {
     "truth": f"truth AS (SELECT item_id, {_SEQ} AS seq FROM benchmark)",
     "kmers": _kmers("seqs", "doc_id, color"),
     "truth_kmers": _kmers("truth", "item_id"),
-    "graph": f"""graph AS (SELECT ck, color, count(*) AS cov,
-  CAST(bit_or(CASE WHEN ck <> km THEN {_bit("translate(nb, 'ACGT', 'TGCA')")} ELSE {_bit("pb")} END) AS INT) AS in_mask,
-  CAST(bit_or(CASE WHEN ck <> km THEN {_bit("translate(pb, 'ACGT', 'TGCA')")} ELSE {_bit("nb")} END) AS INT) AS out_mask
+    "graph": f"""graph AS MATERIALIZED (SELECT ck, color, count(*) AS cov,
+  CAST(bit_or(CASE WHEN ck <> km THEN {_bit("nb", "TGCA")} ELSE {_bit("pb")} END) AS INT) AS in_mask,
+  CAST(bit_or(CASE WHEN ck <> km THEN {_bit("pb", "TGCA")} ELSE {_bit("nb")} END) AS INT) AS out_mask
   FROM seqs_k GROUP BY ck, color)""",
-    "rois": "rois AS (SELECT * FROM graph g WHERE color = 2 AND cov > 0 AND NOT EXISTS (SELECT 1 FROM graph p WHERE p.ck = g.ck AND p.color IN (0, 1)))",
+    "rois": """rois AS MATERIALIZED (SELECT ck, 2 AS color, max(CASE WHEN color = 2 THEN cov END) AS cov, max(CASE WHEN color = 2 THEN in_mask END) AS in_mask, max(CASE WHEN color = 2 THEN out_mask END) AS out_mask
+  FROM graph WHERE cov > 0 GROUP BY ck HAVING max(CASE WHEN color IN (0, 1) THEN 1 ELSE 0 END) = 0 AND max(CASE WHEN color = 2 THEN 1 ELSE 0 END) = 1)""",
     "oriented": """oriented AS (SELECT ck AS km, color, cov, in_mask, out_mask FROM graph UNION ALL SELECT reverse(translate(ck, 'ACGT', 'TGCA')), color, cov,
   ((out_mask & 1) << 3) | ((out_mask & 2) << 1) | ((out_mask & 4) >> 1) | ((out_mask & 8) >> 3), ((in_mask & 1) << 3) | ((in_mask & 2) << 1) | ((in_mask & 4) >> 1) | ((in_mask & 8) >> 3) FROM graph)""",
     "features": "features AS (SELECT l_suppkey % 5 AS chr, l_orderkey AS start, l_orderkey + CAST(l_quantity AS BIGINT) AS stop, l_orderkey * 10 + l_linenumber AS id FROM lineitem)",
@@ -124,8 +135,8 @@ _CTE = {
 _NEEDS = {"kmers": ["seqs"], "graph": ["kmers"], "rois": ["graph"], "oriented": ["graph"], "regions": ["rois"], "truth_kmers": ["truth"]}
 
 
-def sql(needs: str, body: str) -> str:
-    """body after the definitions that it needs."""
+def sql(needs: str, body: str, more: str = "") -> str:
+    """body after the definitions that it needs, and more of its own."""
     order: list[str] = []
 
     def add(name: str) -> None:
@@ -136,4 +147,5 @@ def sql(needs: str, body: str) -> str:
 
     for name in needs.split():
         add(name)
-    return ("WITH " + ",\n".join(_CTE[x] for x in order) + "\n" if order else "") + body
+    parts = [_CTE[x] for x in order] + [more] * bool(more)
+    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.functions import masks
 from kmerloom.functions import sequence as S
-from kmerloom.operators import align, annotate, calls, clean, contigs, evaluate, filters, graph, inheritance, intervals, simulate, traverse, unitigs
+from kmerloom.operators import align, annotate, calls, clean, contigs, evaluate, filters, graph, inheritance, intervals, prefilter, simulate, traverse, unitigs
 from kmerloom.plans.catalog import K, Catalog, sql
 
 _QUERIES: dict[str, Callable[[Catalog], DataFrame]] = {}
@@ -15,11 +15,20 @@ _ORACLES: dict[str, str] = {}
 _RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
 
 
-def query(needs: str | None = None, body: str = "") -> Callable:
+#: Queries are listed by this number, the least costly first: 0 reads no k-mers, 1 gives few rows, 2 about a row a k-mer.
+_RANK: dict[str, int] = {}
+_MANY = frozenset(
+    "novel_kmers graph_build graph_join graph_remove graph_sort edge_strings degrees edge_bytes graph_view next_kmers prev_kmers infer_edges secondary_colors low_coverage shared_kmers recover_excluded variant_seeds single_parent_kmers label_kmers evaluate_rois contig_distance_to_end copy_index accounting kmer_index pack_kmer feature_table consistent_edges unitig_sequences tips orphans contamination unanchored prefiltered".split()
+)
+
+
+def query(needs: str | None = None, body: str = "", more: str = "") -> Callable:
     def add(f: Callable[[Catalog], DataFrame]) -> Callable:
         _QUERIES[f.__name__] = f
         if needs is not None:
-            _ORACLES[f.__name__] = sql(needs, body)
+            _ORACLES[f.__name__] = sql(needs, body, more)
+        light = needs is not None and not {"kmers", "graph", "rois", "oriented", "regions"} & set(needs.split())
+        _RANK[f.__name__] = 2 if f.__name__ in _MANY else 0 if light else 1
         return f
 
     return add
@@ -30,12 +39,12 @@ def query(needs: str | None = None, body: str = "") -> Callable:
 
 @query("rois", "SELECT ck, cov, in_mask, out_mask FROM rois")
 def novel_kmers(c):
-    return filters.novel(graph.build(graph.kmerize(c.seqs, K, "seq", ("doc_id", "color"))), 2, [0, 1]).select("ck", "cov", "in_mask", "out_mask")
+    return filters.novel(graph.counted(c.seqs, K), 2, [0, 1]).select("ck", "cov", "in_mask", "out_mask")
 
 
 @query("graph", "SELECT * FROM graph")
 def graph_build(c):
-    return graph.build(graph.kmerize(c.seqs, K, "seq", ("doc_id", "color"))).select("ck", "color", "cov", "in_mask", "out_mask")
+    return graph.counted(c.seqs, K)
 
 
 @query("graph", "SELECT ck, max(CASE WHEN color = 0 THEN cov ELSE 0 END) AS c0, max(CASE WHEN color = 1 THEN cov ELSE 0 END) AS c1, max(CASE WHEN color = 2 THEN cov ELSE 0 END) AS c2 FROM graph GROUP BY ck")
@@ -44,7 +53,7 @@ def graph_join(c):
     return filters.coverage(graph.join(*parts), [0, 1, 2])
 
 
-@query("graph", "SELECT ck, cov FROM graph g WHERE color = 2 AND NOT EXISTS (SELECT 1 FROM graph p WHERE p.ck = g.ck AND p.color = 0) AND NOT EXISTS (SELECT 1 FROM graph p WHERE p.ck = g.ck AND p.color = 1)")
+@query("graph", "SELECT ck, max(CASE WHEN color = 2 THEN cov END) AS cov FROM graph GROUP BY ck HAVING max(CASE WHEN color IN (0, 1) THEN 1 ELSE 0 END) = 0 AND max(color) = 2")
 def graph_remove(c):
     return graph.remove(c.graph.where("color = 2"), c.graph.where("color = 0"), c.graph.where("color = 1")).select("ck", "cov")
 
@@ -117,14 +126,16 @@ def prev_kmers(c):
 _STEP = "CASE b WHEN 'A' THEN 1 WHEN 'C' THEN 2 WHEN 'G' THEN 4 ELSE 8 END"
 
 
-@query("oriented", f"""SELECT o.ck, o.color, o.cov, coalesce(i.m, 0) AS in_mask, coalesce(u.m, 0) AS out_mask FROM graph o
-  LEFT JOIN (SELECT a.km, a.color, CAST(bit_or({_STEP}) AS INT) AS m FROM (SELECT km, color, unnest(['A','C','G','T']) AS b FROM oriented) a JOIN oriented t ON t.color = a.color AND t.km = substr(a.km, 2) || a.b GROUP BY a.km, a.color) u ON u.km = o.ck AND u.color = o.color
-  LEFT JOIN (SELECT a.km, a.color, CAST(bit_or({_STEP}) AS INT) AS m FROM (SELECT km, color, unnest(['A','C','G','T']) AS b FROM oriented) a JOIN oriented t ON t.color = a.color AND t.km = a.b || substr(a.km, 1, {K - 1}) GROUP BY a.km, a.color) i ON i.km = o.ck AND i.color = o.color""")
+_STEPS = f"heads AS (SELECT left(km, {K - 1}) AS x, color, CAST(bit_or({_STEP.replace('CASE b', 'CASE right(km, 1)')}) AS INT) AS m FROM oriented GROUP BY 1, 2)"
+
+
+@query("oriented", f"""SELECT g.ck, g.color, g.cov, coalesce(((i.m & 1) << 3) | ((i.m & 2) << 1) | ((i.m & 4) >> 1) | ((i.m & 8) >> 3), 0) AS in_mask, coalesce(o.m, 0) AS out_mask FROM graph g
+  LEFT JOIN heads o ON o.x = right(g.ck, {K - 1}) AND o.color = g.color LEFT JOIN heads i ON i.x = right({_RC.format('g.ck')}, {K - 1}) AND i.color = g.color""", _STEPS)
 def infer_edges(c):
     return graph.infer_edges(c.graph)
 
 
-@query("graph", "SELECT r.ck, g.color, g.cov FROM graph r JOIN graph g ON g.ck = r.ck AND g.color <> 2 WHERE r.color = 2")
+@query("graph", "SELECT ck, color, cov FROM (SELECT *, max(color) OVER (PARTITION BY ck) AS top FROM graph) WHERE top = 2 AND color <> 2")
 def secondary_colors(c):
     return c.graph.where("color = 2").select("ck").join(c.graph.where("color <> 2"), "ck").select("ck", "color", "cov")
 
@@ -147,7 +158,7 @@ def low_complexity(c):
     return filters.low_complexity(c.rois, 1.5).select("ck", "cov")
 
 
-@query("graph", "SELECT ck, cov FROM graph g WHERE color = 2 AND EXISTS (SELECT 1 FROM graph o WHERE o.ck = g.ck AND o.color NOT IN (2, 1) AND o.cov > 0)")
+@query("graph", "SELECT ck, max(CASE WHEN color = 2 THEN cov END) AS cov FROM graph GROUP BY ck HAVING max(CASE WHEN color = 2 THEN 1 ELSE 0 END) = 1 AND max(CASE WHEN color NOT IN (2, 1) AND cov > 0 THEN 1 ELSE 0 END) = 1")
 def shared_kmers(c):
     return filters.shared(c.graph.where("color = 2"), c.graph, [2, 1]).select("ck", "cov")
 
@@ -186,9 +197,51 @@ def cov_stats(c):
     return filters.coverage_stats(c.graph, 2, [0], [1])
 
 
-@query("rois", "SELECT ck, cov FROM rois WHERE in_mask = 0 OR out_mask = 0")
+def _walks(anchor: str, contam: str) -> str:
+    """Walks without links in the child's colour: pointers to the sole next k-mer, doubled 17 times; facts of their ends and k-mers."""
+    first = f"""own AS MATERIALIZED (SELECT row_number() OVER () AS id, km, ck, o, novel, NOT novel AND {anchor} AS anchor, novel AND {contam} AS contam FROM (
+  SELECT km, ck, o, ck IN (SELECT ck FROM rois) AS novel FROM (SELECT ck AS km, ck, out_mask AS o FROM graph WHERE color = 2 UNION ALL
+  SELECT {_RC.format('ck')}, ck, ((in_mask & 1) << 3) | ((in_mask & 2) << 1) | ((in_mask & 4) >> 1) | ((in_mask & 8) >> 3) FROM graph WHERE color = 2)))"""
+    steps = [first, """w0 AS MATERIALIZED (SELECT a.id, b.id AS ptr, a.o = 0 AND a.novel AS d, a.anchor, a.contam FROM own a LEFT JOIN own b
+  ON b.km = CASE a.o WHEN 1 THEN substr(a.km, 2) || 'A' WHEN 2 THEN substr(a.km, 2) || 'C' WHEN 4 THEN substr(a.km, 2) || 'G' WHEN 8 THEN substr(a.km, 2) || 'T' END)"""]
+    for i in range(17):
+        steps.append(f"w{i + 1} AS MATERIALIZED (SELECT a.id, b.ptr, coalesce(b.d, a.d) AS d, a.anchor OR coalesce(b.anchor, false) AS anchor, a.contam OR coalesce(b.contam, false) AS contam FROM w{i} a LEFT JOIN w{i} b ON b.id = a.ptr)")
+    steps.append("facts AS (SELECT ck, bool_or(w.d AND w.ptr IS NULL) AS d, bool_or(w.anchor) AS anchor, bool_or(w.contam) AS contam FROM w17 w JOIN own o ON o.id = w.id GROUP BY ck)")
+    return ",\n".join(steps)
+
+
+_ANCHOR = "once AS (SELECT DISTINCT ck FROM (SELECT color, ck FROM seqs_k WHERE color IN (0, 1) GROUP BY color, ck HAVING count(*) = 1))"
+
+
+@query("rois", "SELECT r.ck, r.cov FROM rois r JOIN facts f ON f.ck = r.ck WHERE f.d", _walks("false", "false"))
 def tips(c):
-    return unitigs.tips(c.graph, c.rois).select("ck", "cov")
+    return prefilter.tips(c.graph.where("color = 2"), c.rois).select("ck", "cov")
+
+
+def _anchors(c):
+    return prefilter.anchors(c.seqs.where("color in (0, 1)").withColumn("background", F.col("color")), K)
+
+
+@query("rois truth_kmers", "SELECT r.ck, r.cov FROM rois r JOIN facts f ON f.ck = r.ck WHERE f.contam AND NOT f.anchor", _ANCHOR + ",\n" + _walks("ck IN (SELECT ck FROM once)", "ck IN (SELECT ck FROM truth_k)"))
+def contamination(c):
+    """The truth sequences stand for a contaminant's."""
+    return prefilter.contamination(c.graph.where("color = 2"), c.rois, c.truth_kmers, _anchors(c)).select("ck", "cov")
+
+
+@query("rois", "SELECT r.ck, r.cov FROM rois r JOIN facts f ON f.ck = r.ck WHERE NOT f.anchor", _ANCHOR + ",\n" + _walks("ck IN (SELECT ck FROM once)", "false"))
+def unanchored(c):
+    return prefilter.unanchored(c.graph.where("color = 2"), c.rois, _anchors(c)).select("ck", "cov")
+
+
+@query()
+def orphans(c):
+    return prefilter.orphans(c.graph.where("color = 2"), c.rois).select("ck", "cov")
+
+
+@query()
+def prefiltered(c):
+    """Novel k-mers left by the workflow's prefilters."""
+    return prefilter.prefiltered(c.graph.where("color = 2"), c.rois).select("ck", "cov")
 
 
 # Joins and set comparisons
@@ -200,7 +253,7 @@ def compare_rois(c):
     return evaluate.compare_sets(c.graph.where("color = 0"), c.graph.where("color = 1"))
 
 
-@query("graph", "SELECT coalesce(r.ck, k.ck) AS ck, CASE WHEN k.ck IS NULL THEN 'uniqueToRois' WHEN r.ck IS NULL THEN 'uniqueToKnowns' ELSE 'shared' END AS class FROM (SELECT ck FROM graph WHERE color = 2) r FULL JOIN (SELECT ck FROM graph WHERE color = 1) k ON r.ck = k.ck")
+@query("graph", "SELECT ck, CASE WHEN min(color) = 2 THEN 'uniqueToRois' WHEN max(color) = 1 THEN 'uniqueToKnowns' ELSE 'shared' END AS class FROM graph WHERE color IN (1, 2) GROUP BY ck")
 def evaluate_rois(c):
     return evaluate.classify(c.graph.where("color = 2"), c.graph.where("color = 1"))
 
@@ -262,30 +315,29 @@ def read_extents(c):
 
 @query("rois kmers", "SELECT r.ck, coalesce(CAST(max(k.doc_id) AS VARCHAR), 'absent') AS call FROM (SELECT ck FROM graph WHERE color = 2) r LEFT JOIN seqs_k k ON k.ck = r.ck AND k.color = 1 GROUP BY r.ck")
 def accounting(c):
-    return evaluate.accounting(c.graph.where("color = 2"), c.kmers.where("color = 1").select("ck", F.col("doc_id").alias("call")))
+    return evaluate.accounting(c.graph.where("color = 2"), c.marks.where("color = 1").select("ck", F.col("doc_id").alias("call")))
 
 
 @query("kmers truth_kmers", """SELECT doc_id AS call, min(item_id) AS variant, max(n) AS shared FROM (SELECT doc_id, item_id, count(*) AS n, max(count(*)) OVER (PARTITION BY doc_id) AS top
   FROM (SELECT DISTINCT doc_id, ck FROM seqs_k) k JOIN (SELECT DISTINCT item_id, ck FROM truth_k) t USING (ck) GROUP BY doc_id, item_id) WHERE n = top GROUP BY doc_id""")
 def call_assignment(c):
-    return evaluate.assign(c.kmers.select(F.col("doc_id").alias("call"), "ck"), c.truth_kmers.select(F.col("item_id").alias("variant"), "ck"))
+    return evaluate.assign(c.marks.select(F.col("doc_id").alias("call"), "ck"), c.truth_kmers.select(F.col("item_id").alias("variant"), "ck"))
 
 
 @query("kmers truth_kmers", """SELECT v.item_id AS variant, v.expected, coalesce(max(b.found), 0) AS found, min(b.doc_id) AS contig, coalesce(max(b.found), 0) = v.expected AS complete FROM (SELECT item_id, count(DISTINCT ck) AS expected FROM truth_k GROUP BY item_id) v
   LEFT JOIN (SELECT * FROM (SELECT item_id, doc_id, count(*) AS found, max(count(*)) OVER (PARTITION BY item_id) AS top FROM (SELECT DISTINCT item_id, ck FROM truth_k) t JOIN (SELECT DISTINCT doc_id, ck FROM seqs_k) k USING (ck) GROUP BY item_id, doc_id) WHERE found = top) b ON b.item_id = v.item_id GROUP BY v.item_id, v.expected""")
 def allele_completeness(c):
-    return evaluate.completeness(c.truth_kmers.select(F.col("item_id").alias("variant"), "ck"), c.kmers, "doc_id")
+    return evaluate.completeness(c.truth_kmers.select(F.col("item_id").alias("variant"), "ck"), c.marks, "doc_id")
 
 
 @query("kmers truth_kmers", "SELECT item_id, list_sort(list(DISTINCT doc_id)) AS contigs FROM truth_k t JOIN (SELECT DISTINCT doc_id, ck FROM seqs_k) k USING (ck) GROUP BY item_id")
 def reads_by_contig(c):
-    pairs = c.truth_kmers.select("item_id", "ck").distinct().join(c.kmers.select("doc_id", "ck").distinct(), "ck").select("item_id", "doc_id").distinct()
-    return pairs.groupBy("item_id").agg(F.array_sort(F.collect_list("doc_id")).alias("contigs"))
+    return evaluate.touched(c.truth_kmers, c.marks, "item_id", "doc_id").withColumnRenamed("names", "contigs")
 
 
 @query("kmers", "SELECT ck, count(DISTINCT doc_id) AS n_reads, min(doc_id) AS first_read FROM seqs_k GROUP BY ck")
 def kmer_index(c):
-    return c.kmers.groupBy("ck", "doc_id").agg(F.lit(1).alias("x")).groupBy("ck").agg(F.count("*").alias("n_reads"), F.min("doc_id").alias("first_read"))
+    return evaluate.inverted(c.marks, "doc_id")
 
 
 # Lengths and moments
@@ -331,14 +383,14 @@ def assembly_q(c):
 
 @query("truth_kmers kmers", "SELECT item_id, round(100.0 * count(k.ck) / count(*), 6) AS percent FROM (SELECT DISTINCT item_id, ck FROM truth_k) t LEFT JOIN (SELECT DISTINCT ck FROM seqs_k) k ON k.ck = t.ck GROUP BY item_id")
 def pct_shared_kmers(c):
-    rows = c.truth_kmers.select("item_id", "ck").distinct().join(c.kmers.select("ck").distinct().withColumn("k", F.lit(1)), "ck", "left")
-    return rows.groupBy("item_id").agg(F.round(100.0 * F.count("k") / F.count("*"), 6).alias("percent"))
+    return evaluate.shared_percent(c.truth_kmers, c.marks, "item_id").withColumn("percent", F.round("percent", 6))
 
 
-@query("truth_kmers", "SELECT a.item_id AS a, b.item_id AS b, count(*) AS shared FROM (SELECT DISTINCT item_id, ck FROM truth_k) a JOIN (SELECT DISTINCT item_id, ck FROM truth_k) b ON a.ck = b.ck AND a.item_id < b.item_id GROUP BY 1, 2")
+@query("kmers truth_kmers", """SELECT DISTINCT a.ck AS a, b.ck AS b, CASE WHEN a.v = b.v THEN 1 ELSE -1 END AS value FROM
+  (SELECT DISTINCT k.doc_id, t.ck, t.v FROM seqs_k k JOIN (SELECT ck, max(item_id) AS v FROM truth_k GROUP BY ck) t ON t.ck = k.ck WHERE k.color = 2) a JOIN
+  (SELECT DISTINCT k.doc_id, t.ck, t.v FROM seqs_k k JOIN (SELECT ck, max(item_id) AS v FROM truth_k GROUP BY ck) t ON t.ck = k.ck WHERE k.color = 2) b ON b.doc_id = a.doc_id AND a.ck <= b.ck""")
 def kmer_pair_matrix(c):
-    rows = c.truth_kmers.select("item_id", "ck").distinct()
-    return rows.select(F.col("item_id").alias("a"), "ck").join(rows.select(F.col("item_id").alias("b"), "ck"), "ck").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    return evaluate.pair_matrix(c.truth_kmers.select("ck", F.col("item_id").alias("variant")), c.contig_kmers, "doc_id")
 
 
 # Scalar functions on whole sequences
@@ -354,9 +406,9 @@ def canonical(c):
     return c.seqs.select("doc_id", S.canonical("seq").alias("canonical"), S.is_flipped("seq").alias("flipped"))
 
 
-@query("seqs", "SELECT doc_id, round((length(seq) - length(replace(replace(seq, 'G', ''), 'C', ''))) / CAST(length(seq) AS DOUBLE), 6) AS gc FROM seqs WHERE length(seq) > 0")
+@query("seqs", "SELECT doc_id, CASE WHEN length(seq) > 0 THEN round((length(seq) - length(replace(replace(seq, 'G', ''), 'C', ''))) / CAST(length(seq) AS DOUBLE), 6) END AS gc FROM seqs")
 def gc_fraction(c):
-    return c.seqs.where("length(seq) > 0").select("doc_id", F.round(S.fraction_gc("seq"), 6).alias("gc"))
+    return c.seqs.select("doc_id", F.round(S.fraction_gc("seq"), 6).alias("gc"))
 
 
 @query("truth_kmers", f"SELECT item_id, pos, hamming(km, {_RC.format('km')}) AS distance FROM truth_k")
@@ -380,15 +432,9 @@ def pack_kmer(c):
     return rows.select("ck", "packed", S.unpack(F.col("packed"), K).alias("back"))
 
 
-@query("truth_kmers", "SELECT DISTINCT left(km, 8) AS km, n AS neighbours FROM (SELECT km, (SELECT count(DISTINCT left(km, i) || b || substr(km, i + 2, 7 - i)) FROM (SELECT unnest(range(0, 8)) AS i) CROSS JOIN (SELECT unnest(['A','C','G','T']) AS b) WHERE substr(km, i + 1, 1) <> b) AS n FROM truth_k)")
-def ed1_neighbours(c):
-    short = c.truth_kmers.select(F.left("km", F.lit(8)).alias("km")).distinct()
-    return short.select("km", F.size(S.neighbours("km", 8)).cast("long").alias("neighbours"))
-
-
 @query("truth", f"SELECT km, count(*) AS places, any_value((SELECT count(DISTINCT left(km, i) || b || substr(km, i + 2, 7 - i)) FROM (SELECT unnest(range(0, 8)) AS i) CROSS JOIN (SELECT unnest(['A','C','G','T']) AS b) WHERE substr(km, i + 1, 1) <> b)) AS neighbours FROM (SELECT substr(seq, pos, 8) AS km FROM (SELECT seq, unnest(range(1, length(seq) - 6)) AS pos FROM truth)) GROUP BY km")
-def ed1_neighbours_all(c):
-    """The 8-mers of every place of every truth sequence; ed1_neighbours asks those that start a 21-mer."""
+def ed1_neighbours(c):
+    """The 8-mers of every place of every truth sequence."""
     short = graph.kmerize(c.truth, 8, "seq", ("item_id",)).groupBy("km").agg(F.count("*").alias("places"))
     return short.select("km", "places", F.size(S.neighbours("km", 8)).cast("long").alias("neighbours"))
 
@@ -399,12 +445,17 @@ _AA = ", ".join(f"'{a}'" for a in S.CODE)
 @query("truth", f"""SELECT item_id, coalesce(string_agg(aa, '' ORDER BY i), '') AS protein FROM (SELECT item_id, i, [{_AA}][(instr('TCAG', substr(seq, i * 3 + 1, 1)) - 1) * 16 + (instr('TCAG', substr(seq, i * 3 + 2, 1)) - 1) * 4 + instr('TCAG', substr(seq, i * 3 + 3, 1))] AS aa
   FROM (SELECT item_id, seq, unnest(range(0, length(seq) // 3)) AS i FROM truth)) GROUP BY item_id""")
 def translate_cds(c):
-    return c.truth.where("length(seq) >= 3").select("item_id", S.translate_cds("seq").alias("protein"))
+    return c.truth.select("item_id", S.translate_cds("seq").alias("protein"))
 
 
-@query("truth", "SELECT item_id, seq, least(seq, reverse(translate(seq, 'ACGT', 'TGCA'))) AS allele FROM truth")
+@query("truth", """SELECT item_id, p AS start, substr(seq, p + 1, length(seq) - p - z) AS a, substr(alt, p + 1, length(alt) - p - z) AS b FROM (
+  SELECT *, (SELECT max(i) FROM unnest(range(0, least(length(seq), length(alt)) - p + 1)) t(i) WHERE right(seq, i) = right(alt, i)) AS z FROM (
+  SELECT *, (SELECT max(i) FROM unnest(range(0, least(length(seq), length(alt)) + 1)) t(i) WHERE left(seq, i) = left(alt, i)) AS p FROM (
+  SELECT item_id, seq, replace(seq, 'ACG', 'A') AS alt FROM truth)))""")
 def truth_alleles(c):
-    return c.truth.select("item_id", "seq", S.canonical("seq").alias("allele"))
+    """Each truth sequence and a form of it with all ACG shortened, trimmed to where they differ."""
+    t = S.trim_alleles(F.col("seq"), F.replace("seq", F.lit("ACG"), F.lit("A")))
+    return c.truth.select("item_id", t.alias("t")).select("item_id", "t.start", "t.a", "t.b")
 
 
 @query("truth", "SELECT item_id, CASE WHEN length(seq) = 1 AND length(x) = 1 THEN 'SNP' WHEN length(seq) = length(x) THEN 'MNP' WHEN length(seq) > length(x) THEN 'DEL' ELSE 'INS' END AS type FROM (SELECT item_id, seq, replace(seq, 'AC', 'A') AS x FROM truth)")
@@ -460,14 +511,9 @@ def interval_contained(c):
     return intervals.contained(c.features, c.features, 100).select(F.col("id").alias("outer_id"), F.col("b_id").alias("inner_id"))
 
 
-@query("features variants", "SELECT pos, arg_min(id, (d, id)) AS id, min(d) AS distance FROM (SELECT v.pos, f.id, abs(f.start - v.pos) AS d FROM variants v JOIN features f ON f.chr = v.chr AND f.start BETWEEN v.pos - 100 AND v.pos + 100) GROUP BY pos")
-def nearest_feature(c):
-    return intervals.nearest(c.variants, c.features, "pos", 100)
-
-
 @query("features variants", "SELECT pos, arg_min(id, (d, id)) AS id, min(d) AS distance FROM (SELECT v.pos, f.id, abs(f.start - v.pos) AS d FROM variants v JOIN features f ON f.chr = v.chr AND f.start BETWEEN v.pos - 100000 AND v.pos + 100000) GROUP BY pos")
-def nearest_feature_far(c):
-    """The nearest feature within the reference's 100,000 positions; nearest_feature looks 100 positions far."""
+def nearest_feature(c):
+    """The nearest feature within 100,000 positions."""
     return intervals.nearest(c.variants, c.features, "pos", 100_000)
 
 
@@ -494,7 +540,7 @@ def _targets(pieces: DataFrame) -> DataFrame:
 
 def _parents(c):
     """(item_id, doc_id, first, last) of every parental document (colours 0 and 1) that shares k-mers with a truth sequence."""
-    return contigs.extents(c.truth_kmers, c.kmers.where("color in (0, 1)"), "item_id", "doc_id")
+    return contigs.extents(c.truth_kmers, c.marks.where("color in (0, 1)"), "item_id", "doc_id")
 
 
 @query()
@@ -543,15 +589,9 @@ def unitig_sequences(c):
     return unitigs.unitigs(unitigs.merged_colors(c.graph, [0, 1, 2]))
 
 
-@query("truth kmers", f"""SELECT t.item_id, s.doc_id AS contig, s.pos + 1 AS start, s.pos + {K} AS stop, CASE WHEN s.km = left(t.seq, {K}) THEN '+' ELSE '-' END AS strand FROM truth t JOIN seqs_k s ON s.ck = least(left(t.seq, {K}), reverse(translate(left(t.seq, {K}), 'ACGT', 'TGCA'))) WHERE length(t.seq) >= {K}""")
-def reference_lookup(c):
-    asked = c.truth.where(F.length("seq") >= K).select("item_id", F.left("seq", F.lit(K)).alias("seq"))
-    return align.find_exact(asked, c.seqs.select(F.col("doc_id").alias("contig"), "seq"), K).select("item_id", "contig", F.col("start").cast("long"), F.col("stop").cast("long"), "strand")
-
-
 @query("truth_kmers kmers", "SELECT t.item_id, t.pos, s.doc_id AS contig, s.pos + 1 AS start, s.pos + 21 AS stop, CASE WHEN s.km = t.km THEN '+' ELSE '-' END AS strand FROM truth_k t JOIN seqs_k s ON s.ck = t.ck")
-def reference_lookup_all(c):
-    """Loci of every k-mer of every truth sequence; reference_lookup asks the first one only."""
+def reference_lookup(c):
+    """Loci of every k-mer of every truth sequence."""
     asked = c.truth_kmers.select("item_id", "pos", F.col("km").alias("seq"))
     found = align.find_exact(asked, c.seqs.select(F.col("doc_id").alias("contig"), "seq"), K)
     return found.select("item_id", F.col("pos").cast("long"), "contig", F.col("start").cast("long"), F.col("stop").cast("long"), "strand")
@@ -569,24 +609,31 @@ def longest_intervals(c):
     return top.groupBy("chr").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda x: x["id"].cast("string")), ",").alias("ids"))
 
 
-@query("seqs", f"SELECT doc_id, '>' || doc_id || chr(10) || seq AS value FROM seqs WHERE length(seq) >= {K}")
+@query("seqs", "SELECT doc_id, '>' || doc_id || chr(10) || seq AS value FROM seqs")
 def fasta_print(c):
-    return c.seqs.where(F.length("seq") >= K).select("doc_id", F.concat(F.lit(">"), "doc_id", F.lit("\n"), "seq").alias("value"))
+    return c.seqs.select("doc_id", F.concat(F.lit(">"), "doc_id", F.lit("\n"), "seq").alias("value"))
 
 
-@query("kmers", f"SELECT a.doc_id AS a, b.doc_id AS b FROM seqs_k a JOIN seqs_k b ON b.pos = 0 AND b.km = a.km JOIN seqs s ON s.doc_id = a.doc_id AND a.pos = length(s.seq) - {K} WHERE a.doc_id <> b.doc_id")
+@query("oriented", f"""SELECT a.doc_id AS a, a.strand AS a_strand, b.doc_id AS b, b.strand AS b_strand FROM (
+  SELECT e.doc_id, e.strand, substr(e.z, 2) || b AS next FROM ends e JOIN (SELECT km, out_mask, unnest(['A', 'C', 'G', 'T']) AS b FROM oriented WHERE color = 2) o ON o.km = e.z AND o.out_mask & {_STEP} > 0) a
+  JOIN ends b ON b.a = a.next""", f"ends AS (SELECT doc_id, '+' AS strand, left(seq, {K}) AS a, right(seq, {K}) AS z FROM seqs WHERE color = 2 AND length(seq) >= {K} UNION ALL SELECT doc_id, '-', left({_RC.format('seq')}, {K}), right({_RC.format('seq')}, {K}) FROM seqs WHERE color = 2 AND length(seq) >= {K})")
 def gfa_links(c):
-    last = c.kmers.where("nb is null").select(F.col("doc_id").alias("a"), "km")
-    first = c.kmers.where("pos = 0").select(F.col("doc_id").alias("b"), "km")
-    return last.join(first, "km").where("a <> b").select("a", "b")
+    return contigs.end_links(c.contigs, c.graph.where("color = 2"), "doc_id", K)
+
 
+_CLASS = "CASE WHEN l <= 100 THEN '1-100' WHEN l <= 500 THEN '101-500' WHEN l <= 1000 THEN '501-1000' ELSE '1001+' END"
 
-@query("features variants", "SELECT event_type AS type, CASE WHEN l <= 100 THEN '1-100' WHEN l <= 500 THEN '101-500' WHEN l <= 1000 THEN '501-1000' ELSE '1001+' END AS bucket, count(*) AS n, round(2.0 * count(CASE WHEN hit THEN 1 END) / (count(*) + count(CASE WHEN hit THEN 1 END)), 6) AS f1 FROM (SELECT event_type, pos % 1500 + 1 AS l, EXISTS (SELECT 1 FROM features f WHERE f.chr = v.chr AND f.start = v.pos) AS hit FROM variants v) GROUP BY 1, 2")
+
+@query("variants", f"""SELECT type, bucket, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, round(2.0 * sum(tp) / nullif(2 * sum(tp) + sum(fp) + sum(fn), 0), 6) AS f1 FROM (
+  SELECT event_type AS type, {_CLASS} AS bucket, CASE WHEN pos IN (SELECT id FROM best) THEN 1 ELSE 0 END AS tp, CASE WHEN pos IN (SELECT id FROM best) THEN 0 ELSE 1 END AS fp, 0 AS fn FROM (SELECT *, pos % 1500 + 1 AS l FROM variants WHERE user_id % 2 = 0)
+  UNION ALL SELECT event_type, {_CLASS}, 0, 0, 1 FROM (SELECT *, pos % 1500 + 1 AS l FROM variants WHERE user_id % 2 = 1 AND pos NOT IN (SELECT truth_id FROM best))) GROUP BY type, bucket""", """best AS (SELECT id, arg_min(other, (d, other)) AS truth_id FROM (SELECT a.pos AS id, b.pos AS other, abs(a.pos - b.pos) AS d FROM variants a JOIN variants b ON b.chr = a.chr
+  AND b.event_type = a.event_type AND a.user_id % 2 = 0 AND b.user_id % 2 = 1 AND abs(a.pos - b.pos) < CASE a.event_type WHEN 'click' THEN 10 ELSE 50 END) GROUP BY id)""")
 def f1_table(c):
-    hits = c.features.select("chr", F.col("start").alias("pos")).distinct().withColumn("hit", F.lit(1))
-    rows = c.variants.join(hits, ["chr", "pos"], "left").withColumn("bucket", evaluate.bucket(F.col("pos") % 1500 + 1))
-    tp, n = F.count("hit"), F.count("*")
-    return rows.groupBy(F.col("event_type").alias("type"), "bucket").agg(n.alias("n"), F.round(2.0 * tp / (n + tp), 6).alias("f1"))
+    """Events of even users as calls, of odd users as truth."""
+    rows = c.variants.select("chr", "pos", F.col("event_type").alias("type"), F.col("pos").alias("id"), (F.col("pos") % 1500 + 1).alias("length"), "user_id")
+    called, truth = rows.where("user_id % 2 = 0"), rows.where("user_id % 2 = 1")
+    matches = annotate.positional_match(called.drop("length"), truth.drop("length"), "id", {"click": 10}, 50)
+    return evaluate.call_table(called, truth, matches).select("type", "bucket", "tp", "fp", "fn", F.round("f1", 6).alias("f1"))
 
 
 # Calls, simulated variants, inheritance, CIGAR texts
@@ -682,24 +729,14 @@ def cigar_functions(c):
 # Annotation, matches, features of k-mers, cleaning
 
 
-@query("features variants", """SELECT v.pos, coalesce(CAST(r.region AS VARCHAR), 'core') AS region, g.gene, n.closest_gene, g.gene IS NOT NULL AS genic FROM variants v
-  LEFT JOIN (SELECT v.pos, min(f.id) AS region FROM variants v JOIN features f ON f.chr = v.chr AND f.id % 10 = 1 AND f.start <= v.pos AND f.stop >= v.pos GROUP BY v.pos) r ON r.pos = v.pos
-  LEFT JOIN (SELECT v.pos, min(f.id) AS gene FROM variants v JOIN features f ON f.chr = v.chr AND f.id % 10 = 2 AND f.start <= v.pos AND f.stop >= v.pos GROUP BY v.pos) g ON g.pos = v.pos
-  LEFT JOIN (SELECT pos, arg_min(id, (d, id)) AS closest_gene FROM (SELECT v.pos, f.id, abs(f.start - v.pos) AS d FROM variants v JOIN features f ON f.chr = v.chr AND f.id % 10 = 2 AND f.start BETWEEN v.pos - 100 AND v.pos + 100) GROUP BY pos) n ON n.pos = v.pos""")
-def annotate_calls(c):
-    part = lambda i: c.features.where(F.col("id") % 10 == i)
-    return annotate.annotate(c.variants.select("chr", "pos"), "pos", part(1), part(2), part(3), 100).select("pos", "region", "gene", "closest_gene", "genic")
-
-
 _ROLE = "(SELECT v.pos, min(f.id) AS id FROM variants v JOIN features f ON f.chr = v.chr AND f.id % 3 = {0} AND f.start <= v.pos AND f.stop >= v.pos GROUP BY v.pos)"
 
 
 @query("features variants", f"""SELECT v.pos, coalesce(CAST(r.id AS VARCHAR), 'core') AS region, g.id AS gene, p.id AS repeat, n.closest_gene, g.id IS NOT NULL AS genic FROM variants v
   LEFT JOIN {_ROLE.format(0)} r ON r.pos = v.pos LEFT JOIN {_ROLE.format(1)} g ON g.pos = v.pos LEFT JOIN {_ROLE.format(2)} p ON p.pos = v.pos
   LEFT JOIN (SELECT pos, arg_min(id, (d, id)) AS closest_gene FROM (SELECT v.pos, f.id, abs(f.start - v.pos) AS d FROM variants v JOIN features f ON f.chr = v.chr AND f.id % 3 = 1 AND f.start BETWEEN v.pos - 100000 AND v.pos + 100000) GROUP BY pos) n ON n.pos = v.pos""")
-def annotate_all_calls(c):
-    """Every feature as a region, gene or repeat (id mod 3), closest genes within the reference's 100,000 positions, and the
-    repeat; annotate_calls takes three tenths of the ids, 100 positions and no repeat."""
+def annotate_calls(c):
+    """Every feature as a region, gene or repeat (id mod 3), and closest genes within 100,000 positions."""
     part = lambda i: c.features.where(F.col("id") % 3 == i)
     return annotate.annotate(c.variants.select("chr", "pos"), "pos", part(0), part(1), part(2)).select("pos", "region", "gene", "repeat", "closest_gene", "genic")
 
@@ -718,9 +755,14 @@ def feature_table(c):
     return annotate.feature_table(c.rois, c.contig_kmers, c.lengths, "doc_id", K, {"dust": filters.dust(c.rois), "thin": filters.low_coverage(c.rois, 2)})
 
 
-@query("oriented", """SELECT g.ck, g.color, g.cov, g.in_mask, g.out_mask FROM graph g WHERE g.color = 2""")
+_THICK = f"thick AS MATERIALIZED (SELECT * FROM oriented WHERE color = 2 AND cov > 1), heads AS (SELECT left(km, {K - 1}) AS x, CAST(bit_or({_STEP.replace('CASE b', 'CASE right(km, 1)')}) AS INT) AS m FROM thick GROUP BY 1)"
+
+
+@query("oriented", f"""SELECT g.ck, g.color, g.cov, CAST(g.in_mask & coalesce(((i.m & 1) << 3) | ((i.m & 2) << 1) | ((i.m & 4) >> 1) | ((i.m & 8) >> 3), 0) AS INT) AS in_mask, CAST(g.out_mask & coalesce(o.m, 0) AS INT) AS out_mask
+  FROM (SELECT * FROM graph WHERE color = 2 AND cov > 1) g LEFT JOIN heads o ON o.x = right(g.ck, {K - 1}) LEFT JOIN heads i ON i.x = right({_RC.format('g.ck')}, {K - 1})""", _THICK)
 def consistent_edges(c):
-    return clean.consistent(c.graph.where("color = 2"))
+    """The child's graph without k-mers read once: edges to these go."""
+    return clean.consistent(c.graph.where("color = 2 and cov > 1"))
 
 
 @query("truth", "SELECT item_id, instr(seq, 'ACGT') > 0 AS has, len(regexp_extract_all(seq, '([GC]+|[^GC]+)')) AS parts FROM truth")
@@ -729,7 +771,8 @@ def sequence_splits(c):
 
 
 def queries() -> dict:
-    return {name: (lambda spark, sf_dir, f=f: f(Catalog(spark, sf_dir))) for name, f in _QUERIES.items()}
+    names = sorted(_QUERIES, key=_RANK.__getitem__)
+    return {name: (lambda spark, sf_dir, f=_QUERIES[name]: f(Catalog(spark, sf_dir))) for name in names}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -33,13 +33,12 @@ def test_mosaics_over_two_parents(spark, tmp_path):
 def test_every_kmer_is_looked_up(spark, tmp_path):
     docs, truth = {0: dna(120, 4), 1: dna(90, 5)}, {3: dna(60, 6) + dna(120, 4)[40:80], 4: dna(15, 7)}
     at, made = folder(spark, tmp_path, docs, truth), Q.queries()
-    whole = {(r["item_id"], r["pos"], r["contig"], r["start"], r["strand"]) for r in made["reference_lookup_all"](spark, at).collect()}
+    whole = {(r["item_id"], r["pos"], r["contig"], r["start"], r["strand"]) for r in made["reference_lookup"](spark, at).collect()}
     turned = lambda s: s.translate(str.maketrans("ACGT", "TGCA"))[::-1]
     asked = [(i, p, s[p : p + 21]) for i, s in truth.items() for p in range(len(s) - 20)]
     assert whole == {(i, p, d, a + 1, x) for i, p, km in asked for d, s in docs.items() for a in range(len(s) - 20) for x, y in (("+", km), ("-", turned(km))) if s[a : a + 21] == y}
     assert len(whole) >= 20
-    assert made["reference_lookup"](spark, at).count() == 0  # the first k-mer is nowhere
-    short = {r["km"]: (r["places"], r["neighbours"]) for r in made["ed1_neighbours_all"](spark, at).collect()}
+    short = {r["km"]: (r["places"], r["neighbours"]) for r in made["ed1_neighbours"](spark, at).collect()}
     places = [s[i : i + 8] for s in truth.values() for i in range(len(s) - 7)]
     assert short == {x: (places.count(x), 24) for x in places}
 
@@ -53,8 +52,8 @@ def test_every_feature_annotates(spark, tmp_path):
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
     spark.createDataFrame(events, "event_id long, user_id long, event_type string").dropDuplicates(["event_id"]).write.parquet(f"{tmp_path}/events.parquet")
     feats = [(s % 5, o, o + int(q), o * 10 + n) for o, n, s, q in lines]
-    got = {r["pos"]: r for r in Q.queries()["annotate_all_calls"](spark, str(tmp_path)).collect()}
-    far = {r["pos"]: (r["distance"], r["id"]) for r in Q.queries()["nearest_feature_far"](spark, str(tmp_path)).collect()}
+    got = {r["pos"]: r for r in Q.queries()["annotate_calls"](spark, str(tmp_path)).collect()}
+    far = {r["pos"]: (r["distance"], r["id"]) for r in Q.queries()["nearest_feature"](spark, str(tmp_path)).collect()}
     assert set(got) == {e for e, _, _ in events}
     for pos, row in got.items():
         chr_ = next(u % 5 for e, u, _ in events if e == pos)
