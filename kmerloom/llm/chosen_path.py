@@ -3,9 +3,10 @@
 Every document is the set of its five-word shingles. In each run, a set descends from the root by every one of its
 shingles whose hash at the node falls below 1 / (0.8 |set|): two sets of similarity 0.8 share one child a level on
 average, unlike sets share fewer. The first levels need no look at the data, so each document finds its own paths.
-Small buckets are brute-forced on 256-bit sketches, buckets with too many unlike rows descend further, and what is still
-crowded at the last level is compared block by block. Runs repeat until the recall at the threshold is reached.
-Candidates make components, and inside these every pair of distinct sets is compared exactly.
+Small buckets are brute-forced on 256-bit sketches. In a bucket with too many unlike rows the recursion starts again from
+its node: as many runs of further levels as the recall needs, so a pair that meets there is lost below with no more chance
+than at the root. What is still crowded at the last level is compared block by block. Candidates make components, and
+inside these every pair of distinct sets is compared exactly.
 """
 
 import hashlib
@@ -18,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.llm.common import U, constants, id_key, mix, shingles
-from kmerloom.llm.near import LEADERS, blocks, bucket_links, candidate_components, exact_links
+from kmerloom.llm.near import LEADERS, blocks, bucket_links, exact_links, found_edges
 from kmerloom.plans.components import components
 from kmerloom.plans.runtime import cut, release
 
-#: Levels that every path has, and the most that a crowded bucket may reach.
-FIRST, LAST = 3, 12
+#: Levels of a descent, and how often a crowded bucket starts a further one.
+FIRST, AGAIN = 3, 2
 BITS = 256
 #: Bits that may differ: below NEAR a row stands for its neighbours, above FAR two rows are unlike.
 #: One bit in ten differs at a similarity of 0.8; deviations are 4 bits with 256 shingles or more, about 6 with few.
@@ -85,6 +86,7 @@ def digest(tokens: np.ndarray) -> int:
 
 def _signatures(roots: np.ndarray, threshold: float, width: int):
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
         for batch in batches:
             out = []
             for text in batch.column("text"):
@@ -96,13 +98,15 @@ def _signatures(roots: np.ndarray, threshold: float, width: int):
                 for _ in range(FIRST):
                     paths = descend(paths, tokens, threshold)
                 out.append((digest(tokens), len(tokens), sketch(tokens), paths.view(np.int64)))
-            cols = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64())))] if out else [pa.array([], t) for t in (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *cols], names=["id", "node", "n", "sketch", "paths"])
+            cols = [pa.array([x[i] for x in out], t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("hash"), *cols], names=["id", "hash", "node", "n", "sketch", "paths"])
 
     return kernel
 
 
-def _deeper(threshold: float, width: int):
+def _deeper(threshold: float, width: int, salts: np.ndarray):
+    """Paths of further levels from each held path: one run for each salt."""
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             path, node, bits = [], [], []
@@ -110,7 +114,9 @@ def _deeper(threshold: float, width: int):
                 tokens = shingles(text, width)
                 if digest(tokens) != own:
                     continue  # another text under the same id
-                found = descend(np.array(held, np.int64).view(U), tokens, threshold)
+                found = mix(np.array(held, np.int64).view(U)[:, None] ^ salts[None, :]).ravel()
+                for _ in range(FIRST):
+                    found = descend(found, tokens, threshold)
                 path.append(found.view(np.int64))
                 node += [own] * len(found)
                 bits += [sketch(tokens)] * len(found)
@@ -167,62 +173,80 @@ def similar(threshold: float):
     return compare
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, recall: float = 0.995) -> DataFrame:
-    """One row per input row: id, n_shingles, class_id, n_links, component_id.
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, width: int, recall: float) -> tuple[DataFrame, DataFrame]:
+    """(marked, nodes): every row with its node, and every node (a distinct shingle set) with rep, weight, links and component.
 
-    Rows with equal shingle sets are one class (class_id: its least id); a link joins two rows whose sets have a Jaccard
-    similarity of at least `threshold`; n_links counts the other rows linked to a row, those of its own class included;
-    component_id is the least id reachable by links. Words lie between ASCII white space and ASCII letters count without
-    case; a text of fewer words than `width` is one shingle. A null, empty or blank text has no shingle: it links with
-    nothing and is its own class. Null ids take part under a negative id made from the text. Repeated rows count each;
-    rows that share an id but not a text are separate nodes. An empty table gives no rows. Other columns are not read.
-    `recall` is the least chance that a pair exactly at the threshold meets in some bucket; likelier ones meet more often.
-    """
-    source = docs.select(id_key(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
+    rep is the least (id, hash of the text) of the node's rows."""
+    source = docs.select(id_key(id_col, text_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
     roots = constants(needed_runs(recall), 31)
-    marked = cut(source.mapInArrow(_signatures(roots, threshold, width), "id long, node long, n int, sketch binary, paths array<long>"), "signatures")
+    marked = cut(source.mapInArrow(_signatures(roots, threshold, width), "id long, hash long, node long, n int, sketch binary, paths array<long>"), "signatures")
     classes = cut(
-        marked.where("node is not null").groupBy("node").agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")),
+        marked.where("node is not null").groupBy("node")
+        .agg(F.min(F.struct("id", "hash")).alias("rep"), F.count("*").alias("weight"), F.max("n").alias("n"), F.first("sketch").alias("sketch"), F.first("paths").alias("paths")),
         "classes",
-    )
-    levels = [cut(bucket_links(classes.select(F.explode("paths").alias("path"), F.col("node").alias("id"), "sketch"), BITS // 64, NEAR, FAR), "level")]
-    written = [marked, classes, *levels]
-    for depth in range(FIRST + 1, LAST + 1):
+    )
+    texts = source.withColumn("rep", F.struct("id", "hash")).select("rep", "text")
+    levels = [cut(bucket_links(classes.select(F.explode("paths").alias("path"), F.col("node").alias("id"), "sketch"), BITS // 64, NEAR, FAR, LEADERS), "level")]
+    for again in range(1, AGAIN + 1):
         crowded = levels[-1].where("v is null").select("path", F.col("u").alias("node"))
         if crowded.isEmpty():
             break
         held = crowded.groupBy("node").agg(F.collect_set("path").alias("paths"))
-        texts = source.join(held.join(classes.select("node", "rep"), "node"), F.col("id") == F.col("rep")).select("text", "node", "paths")
-        rows = cut(texts.mapInArrow(_deeper(threshold, width), "path long, id long, sketch binary").distinct(), "deeper")
-        if depth == LAST:
-            rows = blocks(rows, "path", LEADERS).select(F.col("tile").alias("path"), "id", "sketch")
-        levels.append(cut(bucket_links(rows, BITS // 64, NEAR, FAR, None if depth == LAST else LEADERS), "level"))
-        written += [rows, levels[-1]]
-    comps = cut(candidate_components(levels).withColumnsRenamed({"node": "id", "component": "comp"}), "candidates")
-    members = comps.join(classes.select(F.col("node").alias("id"), "rep", "weight"), "id").withColumnRenamed("id", "node")
-    texts = source.join(members, F.col("id") == F.col("rep")).select("text", "node", "weight", "comp")
-    links, trees = exact_links(texts.mapInArrow(_tokens(width), "id long, weight long, comp long, tokens binary"), similar(threshold), ["tokens"], comps)
-    found = components(trees)
-    nodes = classes.select("node", "rep", "weight").join(links.withColumnRenamed("id", "node"), "node", "left").join(found, "node", "left")
+        asked = texts.join(held.join(classes.select("node", "rep"), "node"), "rep").select("text", "node", "paths")
+        salts = constants(needed_runs(recall), 1000 + again)
+        rows = cut(asked.mapInArrow(_deeper(threshold, width, salts), "path long, id long, sketch binary").distinct(), "deeper")
+        levels.append(cut(bucket_links(rows, BITS // 64, NEAR, FAR, LEADERS), "level"))
+        release(rows)
+    crowded = levels[-1].where("v is null").select("path", F.col("u").alias("id"))
+    if not crowded.isEmpty():
+        rows = blocks(crowded.join(classes.select(F.col("node").alias("id"), "sketch"), "id"), "path", LEADERS)
+        levels.append(cut(bucket_links(rows.select(F.col("tile").alias("path"), "id", "sketch"), BITS // 64, NEAR, FAR), "level"))
+    comps = components(found_edges(levels)).withColumnsRenamed({"node": "id", "component": "comp"})
+    comps = cut(comps.join(classes.select(F.col("node").alias("id"), "rep", "weight", (F.col("n") * 8).cast("long").alias("bytes")), "id"), "candidates")
+    asked = texts.join(comps.withColumnRenamed("id", "node"), "rep").select("text", "node", "weight", "comp")
+    links, trees = exact_links(asked.mapInArrow(_tokens(width), "id long, weight long, comp long, tokens binary"), similar(threshold), ["tokens"], comps)
+    nodes = classes.select("node", "rep", "weight").join(links.withColumnRenamed("id", "node"), "node", "left").join(components(trees), "node", "left")
     nodes = cut(nodes.withColumn("component", F.coalesce("component", "node")), "nodes")
-    least = nodes.groupBy("component").agg(F.min("rep").alias("component_id"))
-    nodes = nodes.join(least, "component").select("node", "rep", "component_id", (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    out = marked.select("id", "n", "node").join(nodes, "node", "left")
+    least = nodes.groupBy("component").agg(F.min("rep").alias("least"))
+    nodes = nodes.join(least, "component").select("node", "rep", "least", (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    marked_only = cut(marked.select("id", "hash", "n", "node"), "marked")
+    nodes = cut(nodes, "nodes")
+    release(marked, classes, comps, *levels)
+    return marked_only, nodes
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, recall: float = 0.995) -> DataFrame:
+    """One row per input row: id, n_shingles, class_id, n_links, component_id.
+
+    Rows with equal shingle sets are one class (class_id: its least id); a link joins two rows whose sets have a Jaccard
+    similarity of at least `threshold`; n_links counts the other rows linked to a row, those of its own class included;
+    component_id is the least id reachable by links. Words lie between ASCII white space and ASCII letters count without
+    case; a text of fewer words than `width` is one shingle. A null, empty or blank text has no shingle: it links with
+    nothing and is its own class. Null ids take part under a negative id made from the text; other ids are whole numbers.
+    Repeated rows count each; rows that share an id but not a text are separate nodes. An empty table gives no rows. Other
+    columns are not read. `recall` is the least chance that a pair exactly at the threshold meets in some bucket; likelier
+    ones meet more often.
+    """
+    marked, nodes = _classes(docs, id_col, text_col, threshold, width, recall)
+    out = marked.join(nodes, "node", "left")
     return out.select(
-        F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("rep", "id").alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"),
+        F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("rep.id", "id").alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("least.id", "id").alias("component_id"),
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without all rows but the one of least id of each component of jaccard_join; columns as they were.
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, recall: float = 0.995) -> DataFrame:
+    """docs without all rows but the one of least (id, hash of the text) of each component of jaccard_join; columns as they were.
 
-    Rows without a shingle stay, repeated rows become one.
+    Rows without a shingle stay; rows equal in id and text become one (which one, if their other columns differ, is left
+    open); unlike texts under one id both stay. Columns of any name pass through. An empty table gives no rows.
     """
-    groups = jaccard_join(docs, id_col, text_col, **options)
-    kept = groups.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_kept")).distinct()
-    out = docs.withColumn("_key", id_key(id_col, text_col)).join(kept, F.col("_key") == F.col("_kept"), "left_semi")
-    return out.dropDuplicates(["_key"]).drop("_key")
+    marked, nodes = _classes(docs, id_col, text_col, threshold, width, recall)
+    alone = marked.where("node is null").select("id", "hash")
+    kept = nodes.select("least.id", "least.hash").union(alone).distinct().toDF("kept_id", "kept_hash")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), id_key(id_col, text_col).alias("id"), F.xxhash64(text_col).alias("hash"))
+    out = rows.join(kept, (F.col("id") == F.col("kept_id")) & (F.col("hash") == F.col("kept_hash")), "left_semi").dropDuplicates(["id", "hash"])
+    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
-__all__ = ["descend", "jaccard_join", "keep_one", "needed_runs", "release", "similar", "sketch", "survival"]
+__all__ = ["descend", "jaccard_join", "keep_one", "needed_runs", "similar", "sketch", "survival"]

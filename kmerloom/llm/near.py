@@ -13,13 +13,16 @@ from kmerloom.plans.runtime import cut, release
 
 #: Unlike rows that a bucket may hold before it is split further.
 LEADERS = 2048
-#: Members of a block; blocks of one component are compared two at a time.
-BLOCK = 256
+#: Rows of a bucket that is compared as one matrix; rows of a bucket whose pairs are listed for all such buckets at once.
+MATRIX, TINY = 512, 12
+#: Members and payload bytes of a block; blocks of one component are compared two at a time.
+BLOCK, BYTES = 256, 8 << 20
 
 
 class Bucket:
-    """Leaders of one bucket. A row within `near` bits of a leader is not kept: by the triangle inequality whatever
-    is linked to it lies within `far` bits of that leader. Edges join rows within `far`, one for each merge of two trees."""
+    """Leaders of a bucket of many rows. A row within `near` bits of a leader is not kept: by the triangle inequality whatever
+    is linked to it lies within `far` bits of that leader. Edges join rows within `far`, one for each merge of two trees,
+    from the row to the nearest leader of the tree."""
 
     def __init__(self, width: int, near: int, far: int, limit: int | None):
         self.near, self.far, self.limit = near, far, limit
@@ -36,6 +39,7 @@ class Bucket:
         n = self.count
         away = np.bitwise_count(self.sketch[:n] ^ sketch).sum(axis=1) if n else np.empty(0, int)
         close = np.flatnonzero(away <= self.far)
+        close = close[np.argsort(away[close], kind="stable")]
         trees: dict[int, int] = {}
         for i in close.tolist():
             trees.setdefault(self.root(i), i)
@@ -45,7 +49,7 @@ class Bucket:
         first = min(trees, default=n)
         for r in trees:
             self.up[r] = first
-        if len(close) and away[close].min() <= self.near:
+        if len(close) and away[close[0]] <= self.near:
             return
         if n == len(self.ids):
             self.ids, self.sketch = np.resize(self.ids, 2 * n), np.resize(self.sketch, (2 * n, self.sketch.shape[1]))
@@ -60,56 +64,89 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty((0, width), U)
 
 
-def bucket_links(rows: DataFrame, width: int, near: int, far: int, limit: int | None = LEADERS) -> DataFrame:
-    """rows (path long, id long, sketch binary) -> (path, u, v): a spanning forest of the links of each bucket,
-    or, for a bucket with more than `limit` unlike rows, (path, id, null) for each of its rows.
-
-    Rows stream through in the order of path; a bucket's memory is its leaders, whatever its size.
+def _tree(away: np.ndarray, far: int) -> list[tuple[int, int]]:
+    """The edges of a least spanning forest of the pairs within `far`, by Prim's algorithm."""
+    n, taken = len(away), np.iinfo(away.dtype).max
+    best, source, out = np.full(n, taken - 1, away.dtype), np.zeros(n, np.int64), []
+    for _ in range(n):
+        i = int(best.argmin())
+        if best[i] <= far:
+            out.append((int(source[i]), i))
+        best[i] = taken
+        closer = (away[i] < best) & (away[i] <= far) & (best != taken)
+        best[closer] = away[i][closer]
+        source[closer] = i
+    return out
+
+
+def _pairs(sketch: np.ndarray, far: int) -> list[tuple[int, int]]:
+    """All pairs of rows within `far` bits, or, where these are many, a least spanning forest of them."""
+    bits = np.unpackbits(sketch.view(np.uint8), axis=1).astype(np.float32) * 2 - 1
+    away = ((bits.shape[1] - bits @ bits.T) / 2).astype(np.int16)
+    i, j = np.nonzero(np.triu(away <= far, 1))
+    if len(i) <= 4 * len(sketch):
+        return list(zip(i.tolist(), j.tolist()))
+    return _tree(away, far)
+
+
+def bucket_links(rows: DataFrame, width: int, near: int, far: int, limit: int | None = None) -> DataFrame:
+    """rows (path long, id long, sketch binary) -> (path, u, v): links of each bucket, at least a spanning forest of them by least
+    distance, or, for a bucket with more than `limit` unlike rows, (path, id, null) for each of its rows.
+
+    Small buckets are compared whole. Larger ones stream through in the order of path; their memory is their leaders.
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(over: list, edges: list) -> pa.RecordBatch:
+        most = LEADERS if limit is None else limit
+        held: Bucket | None = None
+        at: int | None = None  # the path of held
+        own: list[int] = []
+        spilled = False
+        over: list[tuple[int, int]] = []
+        edges: list[tuple[int, int]] = []
+
+        def out() -> pa.RecordBatch:
             p, u, v = [x[0] for x in over] + [0] * len(edges), [x[1] for x in over] + [x[0] for x in edges], [None] * len(over) + [x[1] for x in edges]
+            over.clear()
+            edges.clear()
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (p, u, v)], names=["path", "u", "v"])
 
-        held: Bucket | None = None
-        held_path, kept_ids, spilled = None, [], False
-        for table, _ in runs(batches, "path"):
+        def stream(path: int, ids: np.ndarray, sketch: np.ndarray) -> None:
+            nonlocal held, at, own, spilled
+            if path != at:
+                held, at, own, spilled = Bucket(width, near, far, None if limit is None else most), path, [], False
+            for x, bits in zip(ids.tolist(), sketch):
+                if spilled:
+                    over.append((path, x))
+                    continue
+                own.append(x)
+                held.add(x, bits, edges)
+                if held.full:
+                    over.extend((path, y) for y in own)
+                    spilled, own = True, []
+
+        for table, whole in runs(batches, "path"):
             path, ids = table.column("path").to_numpy(), table.column("id").to_numpy()
             sketch = _matrix(table.column("sketch"), width)
             starts = np.flatnonzero(np.concatenate(([True], path[1:] != path[:-1])))
-            ends = np.append(starts[1:], len(path))
-            over, edges = [], []
-            if held_path is None or path[0] != held_path:
-                held, held_path = None, None
-            twos = ends - starts == 2
-            if held_path is not None:
-                twos &= path[starts] != held_path
-            twos = starts[twos]
-            away = np.bitwise_count(sketch[twos] ^ sketch[twos + 1]).sum(axis=1) if len(twos) else np.empty(0, int)
-            linked = twos[(away <= far) & (ids[twos] != ids[twos + 1])]
-            edges += zip(ids[linked].tolist(), ids[linked + 1].tolist())
-            for s, e in zip(starts.tolist(), ends.tolist()):
-                again, last = path[s] == held_path, e == len(path)
-                if e - s <= 2 and not again and not last:
-                    continue
-                if not again:
-                    held, held_path, kept_ids, spilled = Bucket(width, near, far, limit), path[s], [], False
-                    if e - s <= 2 and not last:
-                        continue
-                for i in range(s, e):
-                    if not spilled:
-                        kept_ids.append(int(ids[i]))
-                        held.add(int(ids[i]), sketch[i], edges)
-                        if held.full:
-                            over += [(int(held_path), x) for x in kept_ids]
-                            spilled, kept_ids = True, []
-                    else:
-                        over.append((int(held_path), int(ids[i])))
+            sizes = np.diff(np.append(starts, len(path)))
+            streamed = (sizes > min(MATRIX, most)) | (path[starts] == at if at is not None else False) | (not whole)
+            for size in range(2, TINY + 1):
+                at_once = starts[(sizes == size) & ~streamed]
+                for i in range(size if len(at_once) else 0):
+                    for j in range(i + 1, size):
+                        a, b = at_once + i, at_once + j
+                        hit = (np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1) <= far) & (ids[a] != ids[b])
+                        edges.extend(zip(ids[a[hit]].tolist(), ids[b[hit]].tolist()))
+            for s, n, by_row in zip(starts.tolist(), sizes.tolist(), streamed.tolist()):
+                if by_row:
+                    stream(int(path[s]), ids[s : s + n], sketch[s : s + n])
+                elif n > TINY:
+                    found = ((int(ids[s + i]), int(ids[s + j])) for i, j in _pairs(sketch[s : s + n], far))
+                    edges.extend(x for x in found if x[0] != x[1])
                 if len(over) + len(edges) > 100_000:
-                    yield out(over, edges)
-                    over, edges = [], []
-            yield out(over, edges)
+                    yield out()
+        yield out()
 
     parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
     return rows.repartition(int(parts), "path").sortWithinPartitions("path", "id").mapInArrow(kernel, "path long, u long, v long")
@@ -119,20 +156,36 @@ def blocks(rows: DataFrame, key: str, size: int, keys: DataFrame | None = None)
     """Give each row of a key with m rows the ceil(m / size) pairs of blocks that hold it; adds a, b, block and tile.
 
     Every two rows of a key meet in the one tile of their blocks. Row counts are made with map-side partial sums,
-    from `keys` where that has the same keys and is cheaper to read.
+    from `keys` where that has the same keys and is cheaper to read; its column `bytes`, if there, sums to BYTES a block.
     """
-    many = (rows if keys is None else keys).groupBy(F.col(key).alias("_key")).agg(F.ceil(F.count("*") / size).cast("int").alias("_many"))
-    held = rows.join(many, F.col(key) == F.col("_key")).drop("_key").withColumn("block", F.pmod(F.xxhash64(F.lit(7), "id"), F.col("_many")).cast("int"))
+    keys = rows if keys is None else keys
+    many = F.ceil(F.count("*") / size)
+    if "bytes" in keys.columns:
+        many = F.greatest(many, F.ceil(F.sum("bytes") / BYTES))
+    counts = keys.groupBy(F.col(key).alias("_key")).agg(many.cast("int").alias("_many"))
+    held = rows.join(counts, F.col(key) == F.col("_key")).drop("_key").withColumn("block", F.pmod(F.xxhash64(F.lit(7), "id"), F.col("_many")).cast("int"))
     held = held.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_many") - 1)))
     held = held.withColumn("a", F.least("block", "_other")).withColumn("b", F.greatest("block", "_other"))
     return held.withColumn("tile", F.xxhash64(F.lit(3), key, "a", "b")).drop("_many", "_other")
 
 
+def _least(hit: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """The least row that each of n rows reaches over the links hit[i, j] of left[i] and right[j]."""
+    low = np.arange(n)
+    while True:
+        before = low.copy()
+        low[right] = np.minimum(low[right], np.where(hit, low[left][:, None], n).min(axis=0))
+        low[left] = np.minimum(low[left], np.where(hit, low[right][None, :], n).min(axis=1))
+        low = low[low]
+        if (low == before).all():
+            return low
+
+
 def exact_links(rows: DataFrame, compare: Callable[[list, list], np.ndarray], payload: list[str], comps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows (id, weight, comp, *payload), comps (comp) a row for each -> links (id, n_links) and trees (u, v).
+    """rows (id, weight, comp, *payload), comps (comp, bytes) a row for each -> links (id, n_links) and trees (u, v).
 
     compare(left, right) gives the boolean matrix of links between two lists of payload rows. All pairs of a component are
-    compared, block by block; what leaves a tile is one count a row and a spanning forest, never its pairs.
+    compared, block by block; what leaves a tile is one count a row and a star for each group, never its pairs.
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,20 +234,8 @@ def exact_links(rows: DataFrame, compare: Callable[[list, list], np.ndarray], pa
             counts[left] += hit @ weight[right]
             counts[right] += hit.T @ weight[left]
         out = [(int(ids[i]), None, int(counts[i])) for i in np.flatnonzero(counts)]
-        up = list(range(len(ids)))
-
-        def root(i: int) -> int:
-            while up[i] != i:
-                up[i] = up[up[i]]
-                i = up[i]
-            return i
-
-        for i, j in zip(*np.nonzero(hit)):
-            x, y = root(int(left[i])), root(int(right[j]))
-            if x != y:
-                up[x] = y
-                out.append((int(ids[left[i]]), int(ids[right[j]]), None))
-        return out
+        low = _least(hit, left, right, len(ids))
+        return out + [(int(ids[i]), int(ids[low[i]]), None) for i in np.flatnonzero(low != np.arange(len(ids)))]
 
     parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
     tiles = blocks(rows, "comp", BLOCK, comps).repartition(int(parts), "tile").sortWithinPartitions("tile", "id")
@@ -203,13 +244,13 @@ def exact_links(rows: DataFrame, compare: Callable[[list, list], np.ndarray], pa
     return links, found.where("v is not null").select("u", "v")
 
 
-def candidate_components(levels: list[DataFrame]) -> DataFrame:
-    """(node, component) of the links found in buckets."""
+def found_edges(levels: list[DataFrame]) -> DataFrame:
+    """The distinct links (u, v), u < v, found in buckets."""
     edges = None
     for x in levels:
-        x = x.where("v is not null").select("u", "v")
+        x = x.where("v is not null").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
         edges = x if edges is None else edges.union(x)
-    return components(edges)
+    return edges.distinct()
 
 
-__all__ = ["BLOCK", "LEADERS", "blocks", "bucket_links", "candidate_components", "exact_links", "release"]
+__all__ = ["BLOCK", "LEADERS", "blocks", "bucket_links", "components", "exact_links", "found_edges", "release"]

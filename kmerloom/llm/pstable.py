@@ -1,8 +1,9 @@
 """Embedding near-duplicates by p-stable hashing for the Euclidean distance.
 
 Vectors are scaled to length 1, where cosine c is the distance sqrt(2 - 2c). A table's key is the vector's Gaussian
-projections, shifted and quantised to cells. Rows of one cell are compared on 128 signs of further projections, links
-make candidate components, and inside these every pair gets an exact cosine in double precision.
+projections, shifted and quantised to cells. Rows of one cell are compared on 256 signs of further projections; of the pairs
+found, those whose cosine shows them near make candidate components, and inside these every pair gets an exact cosine in
+double precision.
 """
 
 import hashlib
@@ -15,14 +16,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.llm.common import U, constants, mix
-from kmerloom.llm.near import LEADERS, blocks, bucket_links, candidate_components, exact_links
+from kmerloom.llm.near import LEADERS, blocks, bucket_links, exact_links, found_edges
 from kmerloom.plans.components import components
-from kmerloom.plans.runtime import cut
+from kmerloom.plans.runtime import cut, release
 
 #: Width of a cell, signs of a sketch.
-CELL, BITS = 2.0, 128
-#: Strangers that a cell holds on average: the number of projections a key follows from it.
-STRANGERS = 4.0
+CELL, BITS = 2.0, 256
+#: Strangers that a cell holds on average: the number of projections a key follows from it. A row of a further table costs
+#: about as much as a hundred comparisons of sketches.
+STRANGERS = 128.0
+#: Bits of a sketch for each radian, and the angles, beyond that of a link, within which a row stands for its neighbours and
+#: within which a pair is kept as a candidate edge.
+PER_RADIAN, NEAR, SLACK = BITS / math.pi, 0.2, 0.35
 
 
 def meet(distance: float) -> float:
@@ -104,14 +109,25 @@ def cosines(threshold: float):
     return compare
 
 
+def _near_enough(least: float):
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = ([np.frombuffer(x, np.float64) for x in batch.column(c).to_pylist()] for c in ("a", "b"))
+            keep = pa.array([len(x) == len(y) and float(x @ y) >= least for x, y in zip(a, b, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("u", "v")], names=["u", "v"])
+
+    return kernel
+
+
 def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = 0.9, recall: float = 0.995) -> DataFrame:
     """One row per input row: id, n_links, component_id, kept.
 
     Two rows are linked if their cosine, in double precision, is at least `cosine`; n_links counts the other rows linked to
     a row; component_id is the least id reachable; kept marks the row of that id. Vectors that are null, empty or zero or
     hold null or non-finite components, and vectors of unlike lengths, link with nothing. Equal vectors are one node, so
-    copies cost nothing; repeated rows count each. Null ids get a negative id made from the vector. Other columns are not
-    read; an empty table gives no rows. `recall` is the least chance that a pair exactly at the threshold shares a cell.
+    copies cost nothing; repeated rows count each. Null ids get a negative id made from the vector. Ids are whole numbers.
+    Other columns are not read; an empty table gives no rows. `recall` is the least chance that a pair exactly at the
+    threshold shares a cell. A cell with over LEADERS unlike rows is compared in tiles of that size, so none is left out.
     """
     own_id = F.coalesce(F.col(id_col).cast("long"), -F.abs(F.xxhash64(F.lit("no id"), F.col(vector_col)) % F.lit(1 << 61)) - F.lit(1 << 61))
     source = vectors.select(own_id.alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
@@ -122,19 +138,23 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         .agg(F.min("id").alias("rep"), F.count("*").alias("weight"), F.first("sketch").alias("sketch"), F.first("unit").alias("unit"), F.first("paths").alias("paths")),
         "classes",
     )
-    near = math.floor(BITS * math.acos(cosine) / math.pi * 0.7)
-    far = math.ceil(BITS * math.acos(cosine) / math.pi * 2.2)
+    angle = math.acos(cosine)
+    near, far = math.floor(PER_RADIAN * NEAR), math.ceil(PER_RADIAN * (angle + NEAR) + 4.5 * math.sqrt(PER_RADIAN * angle))
     rows = classes.select(F.explode("paths").alias("path"), F.col("node").alias("id"), "sketch")
-    level = cut(bucket_links(rows, BITS // 64, near, far), "level")
+    level = cut(bucket_links(rows, BITS // 64, near, far, LEADERS), "level")
     crowded = level.where("v is null").select("path", F.col("u").alias("id")).join(classes.select(F.col("node").alias("id"), "sketch"), "id")
     tiles = blocks(crowded, "path", LEADERS).select(F.col("tile").alias("path"), "id", "sketch")
-    rest = cut(bucket_links(tiles, BITS // 64, near, far, None), "rest")
-    comps = cut(candidate_components([level, rest]).withColumnsRenamed({"node": "id", "component": "comp"}), "candidates")
+    rest = cut(bucket_links(tiles, BITS // 64, near, far), "rest")
+    units = classes.select("node", "unit")
+    ends = found_edges([level, rest]).join(units.withColumnsRenamed({"node": "u", "unit": "a"}), "u").join(units.withColumnsRenamed({"node": "v", "unit": "b"}), "v")
+    edges = ends.select("u", "v", "a", "b").mapInArrow(_near_enough(math.cos(min(math.pi, angle + SLACK))), "u long, v long")
+    comps = cut(components(edges).withColumnsRenamed({"node": "id", "component": "comp"}), "candidates")
     members = comps.join(classes.select(F.col("node").alias("id"), "weight", "unit"), "id")
     links, trees = exact_links(members, cosines(cosine), ["unit"], comps)
     nodes = classes.select("node", "rep", "weight").join(links.withColumnRenamed("id", "node"), "node", "left").join(components(trees), "node", "left")
     nodes = cut(nodes.withColumn("component", F.coalesce("component", "node")), "nodes")
     least = nodes.groupBy("component").agg(F.min("rep").alias("component_id"))
     nodes = nodes.join(least, "component").select("node", "component_id", (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
-    out = marked.select("id", "node").join(nodes, "node", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    out = cut(marked.select("id", "node").join(nodes, "node", "left").withColumn("component_id", F.coalesce("component_id", "id")), "linked")
+    release(marked, classes, level, rest, comps)
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
