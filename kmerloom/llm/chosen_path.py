@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.llm.common import U, constants, id_key, mix, shingles
-from kmerloom.llm.near import LEADERS, blocks, bucket_links, exact_links, found_edges
+from kmerloom.llm.near import BLOCK, LEADERS, bucket_links, exact_links, found_edges, sized, tiles
 from kmerloom.plans.components import components
 from kmerloom.plans.runtime import cut, release
 
@@ -136,7 +136,7 @@ def _tokens(width: int):
                     keep.append(i)
                     data.append(tokens.tobytes())
             at = pa.array(keep, pa.int32())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("node", "weight", "comp")), pa.array(data, pa.binary())], names=["id", "weight", "comp", "tokens"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("node", "weight", "comp", "many")), pa.array(data, pa.binary())], names=["id", "weight", "comp", "many", "tokens"])
 
     return kernel
 
@@ -192,19 +192,21 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, widt
         if crowded.isEmpty():
             break
         held = crowded.groupBy("node").agg(F.collect_set("path").alias("paths"))
-        asked = texts.join(held.join(classes.select("node", "rep"), "node"), "rep").select("text", "node", "paths")
+        asked = texts.join(held.join(classes.select("node", "rep"), "node").hint("merge"), "rep").select("text", "node", "paths")
         salts = constants(needed_runs(recall), 1000 + again)
         rows = cut(asked.mapInArrow(_deeper(threshold, width, salts), "path long, id long, sketch binary").distinct(), "deeper")
         levels.append(cut(bucket_links(rows, BITS // 64, NEAR, FAR, LEADERS), "level"))
         release(rows)
     crowded = levels[-1].where("v is null").select("path", F.col("u").alias("id"))
     if not crowded.isEmpty():
-        rows = blocks(crowded.join(classes.select(F.col("node").alias("id"), "sketch"), "id"), "path", LEADERS)
-        levels.append(cut(bucket_links(rows.select(F.col("tile").alias("path"), "id", "sketch"), BITS // 64, NEAR, FAR), "level"))
+        rows = sized(crowded, "path", LEADERS).join(classes.select(F.col("node").alias("id"), "sketch"), "id")
+        levels.append(cut(bucket_links(tiles(rows, "path").select(F.col("tile").alias("path"), "id", "sketch"), BITS // 64, NEAR, FAR), "level"))
     comps = components(found_edges(levels)).withColumnsRenamed({"node": "id", "component": "comp"})
-    comps = cut(comps.join(classes.select(F.col("node").alias("id"), "rep", "weight", (F.col("n") * 8).cast("long").alias("bytes")), "id"), "candidates")
-    asked = texts.join(comps.withColumnRenamed("id", "node"), "rep").select("text", "node", "weight", "comp")
-    links, trees = exact_links(asked.mapInArrow(_tokens(width), "id long, weight long, comp long, tokens binary"), similar(threshold), ["tokens"], comps)
+    comps = comps.join(classes.select(F.col("node").alias("id"), "rep", "weight", (F.col("n") * 8).cast("long").alias("bytes")), "id")
+    comps = cut(sized(comps, "comp", BLOCK), "candidates")
+    asked = comps.select("rep", F.col("id").alias("node"), "weight", "comp", "many").hint("merge")  # they grow with the texts: never broadcast, whatever the size
+    asked = texts.join(asked, "rep").select("text", "node", "weight", "comp", "many")
+    links, trees = exact_links(asked.mapInArrow(_tokens(width), "id long, weight long, comp long, many int, tokens binary"), similar(threshold), ["tokens"])
     nodes = classes.select("node", "rep", "weight").join(links.withColumnRenamed("id", "node"), "node", "left").join(components(trees), "node", "left")
     nodes = cut(nodes.withColumn("component", F.coalesce("component", "node")), "nodes")
     least = nodes.groupBy("component").agg(F.min("rep").alias("least"))

@@ -152,21 +152,25 @@ def bucket_links(rows: DataFrame, width: int, near: int, far: int, limit: int |
     return rows.repartition(int(parts), "path").sortWithinPartitions("path", "id").mapInArrow(kernel, "path long, u long, v long")
 
 
-def blocks(rows: DataFrame, key: str, size: int, keys: DataFrame | None = None) -> DataFrame:
-    """Give each row of a key with m rows the ceil(m / size) pairs of blocks that hold it; adds a, b, block and tile.
+def sized(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """rows with `many`: how many blocks of `size` rows, and of BYTES where rows have `bytes`, their key needs.
 
-    Every two rows of a key meet in the one tile of their blocks. Row counts are made with map-side partial sums,
-    from `keys` where that has the same keys and is cheaper to read; its column `bytes`, if there, sums to BYTES a block.
-    """
-    keys = rows if keys is None else keys
+    Counts are made with map-side partial sums; join them to narrow rows, before payloads."""
     many = F.ceil(F.count("*") / size)
-    if "bytes" in keys.columns:
+    if "bytes" in rows.columns:
         many = F.greatest(many, F.ceil(F.sum("bytes") / BYTES))
-    counts = keys.groupBy(F.col(key).alias("_key")).agg(many.cast("int").alias("_many"))
-    held = rows.join(counts, F.col(key) == F.col("_key")).drop("_key").withColumn("block", F.pmod(F.xxhash64(F.lit(7), "id"), F.col("_many")).cast("int"))
-    held = held.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_many") - 1)))
+    counts = rows.groupBy(F.col(key).alias("_key")).agg(many.cast("int").alias("many"))
+    return rows.join(counts, F.col(key) == F.col("_key")).drop("_key")
+
+
+def tiles(rows: DataFrame, key: str) -> DataFrame:
+    """Give each of the sized rows the `many` pairs of blocks that hold it; adds a, b, block and tile.
+
+    Every two rows of a key meet in the one tile of their blocks."""
+    held = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(7), "id"), F.col("many")).cast("int"))
+    held = held.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
     held = held.withColumn("a", F.least("block", "_other")).withColumn("b", F.greatest("block", "_other"))
-    return held.withColumn("tile", F.xxhash64(F.lit(3), key, "a", "b")).drop("_many", "_other")
+    return held.withColumn("tile", F.xxhash64(F.lit(3), key, "a", "b")).drop("many", "_other")
 
 
 def _least(hit: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
@@ -181,8 +185,8 @@ def _least(hit: np.ndarray, left: np.ndarray, right: np.ndarray, n: int) -> np.n
             return low
 
 
-def exact_links(rows: DataFrame, compare: Callable[[list, list], np.ndarray], payload: list[str], comps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows (id, weight, comp, *payload), comps (comp, bytes) a row for each -> links (id, n_links) and trees (u, v).
+def exact_links(rows: DataFrame, compare: Callable[[list, list], np.ndarray], payload: list[str]) -> tuple[DataFrame, DataFrame]:
+    """rows (id, weight, comp, many, *payload), sized by comp -> links (id, n_links) and trees (u, v).
 
     compare(left, right) gives the boolean matrix of links between two lists of payload rows. All pairs of a component are
     compared, block by block; what leaves a tile is one count a row and a star for each group, never its pairs.
@@ -238,8 +242,8 @@ def exact_links(rows: DataFrame, compare: Callable[[list, list], np.ndarray], pa
         return out + [(int(ids[i]), int(ids[low[i]]), None) for i in np.flatnonzero(low != np.arange(len(ids)))]
 
     parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    tiles = blocks(rows, "comp", BLOCK, comps).repartition(int(parts), "tile").sortWithinPartitions("tile", "id")
-    found = cut(tiles.select("tile", "id", "weight", "block", "a", "b", *payload).mapInArrow(kernel, "u long, v long, n long"), "links")
+    dealt = tiles(rows, "comp").repartition(int(parts), "tile").sortWithinPartitions("tile", "id")
+    found = cut(dealt.select("tile", "id", "weight", "block", "a", "b", *payload).mapInArrow(kernel, "u long, v long, n long"), "links")
     links = found.where("v is null").groupBy(F.col("u").alias("id")).agg(F.sum("n").alias("n_links"))
     return links, found.where("v is not null").select("u", "v")
 
@@ -253,4 +257,4 @@ def found_edges(levels: list[DataFrame]) -> DataFrame:
     return edges.distinct()
 
 
-__all__ = ["BLOCK", "LEADERS", "blocks", "bucket_links", "components", "exact_links", "found_edges", "release"]
+__all__ = ["BLOCK", "LEADERS", "bucket_links", "components", "exact_links", "found_edges", "release", "sized", "tiles"]

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.llm.common import U, constants, mix
-from kmerloom.llm.near import LEADERS, blocks, bucket_links, exact_links, found_edges
+from kmerloom.llm.near import BLOCK, LEADERS, bucket_links, exact_links, found_edges, sized, tiles
 from kmerloom.plans.components import components
 from kmerloom.plans.runtime import cut, release
 
@@ -143,14 +143,14 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = classes.select(F.explode("paths").alias("path"), F.col("node").alias("id"), "sketch")
     level = cut(bucket_links(rows, BITS // 64, near, far, LEADERS), "level")
     crowded = level.where("v is null").select("path", F.col("u").alias("id")).join(classes.select(F.col("node").alias("id"), "sketch"), "id")
-    tiles = blocks(crowded, "path", LEADERS).select(F.col("tile").alias("path"), "id", "sketch")
-    rest = cut(bucket_links(tiles, BITS // 64, near, far), "rest")
+    dealt = tiles(sized(crowded, "path", LEADERS), "path").select(F.col("tile").alias("path"), "id", "sketch")
+    rest = cut(bucket_links(dealt, BITS // 64, near, far), "rest")
     units = classes.select("node", "unit")
     ends = found_edges([level, rest]).join(units.withColumnsRenamed({"node": "u", "unit": "a"}), "u").join(units.withColumnsRenamed({"node": "v", "unit": "b"}), "v")
     edges = ends.select("u", "v", "a", "b").mapInArrow(_near_enough(math.cos(min(math.pi, angle + SLACK))), "u long, v long")
-    comps = cut(components(edges).withColumnsRenamed({"node": "id", "component": "comp"}), "candidates")
+    comps = cut(sized(components(edges).withColumnsRenamed({"node": "id", "component": "comp"}), "comp", BLOCK), "candidates")
     members = comps.join(classes.select(F.col("node").alias("id"), "weight", "unit"), "id")
-    links, trees = exact_links(members, cosines(cosine), ["unit"], comps)
+    links, trees = exact_links(members, cosines(cosine), ["unit"])
     nodes = classes.select("node", "rep", "weight").join(links.withColumnRenamed("id", "node"), "node", "left").join(components(trees), "node", "left")
     nodes = cut(nodes.withColumn("component", F.coalesce("component", "node")), "nodes")
     least = nodes.groupBy("component").agg(F.min("rep").alias("component_id"))
