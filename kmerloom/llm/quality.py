@@ -14,12 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kmerloom.llm.common import _BYTE, _INVERSE, _POWER, U, mix
+from kmerloom.llm.common import _BYTE, _INVERSE, _POWER, U, long_hash, mix
 
 #: Word buckets, dimensions of a vector, nonzero entries of an index vector, words on each side that count as context.
 BUCKETS, DIMS, NONZERO, NEAR = 1 << 13, 48, 4, 2
 #: Labelled rows learned from (about), hidden units, bytes of text in work at a time.
 SAMPLE, HIDDEN, SLICE = 6000, 24, 1 << 18
+#: Tasks that read the sampled texts.
+TASKS = 12
 THRESHOLD = 0.3
 
 _KIND = np.full(256, 4, np.uint8)
@@ -39,30 +41,65 @@ def index_vectors() -> np.ndarray:
     return out
 
 
-def tokens(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word buckets, shape buckets) of at most SLICE bytes."""
+def _pieces(text: str | None) -> Iterator[np.ndarray]:
+    """The bytes of a text in pieces of about SLICE that end between words; a longer word is a piece by itself."""
+    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    at = 0
+    while at < len(data):
+        end = min(at + SLICE, len(data))
+        if end < len(data):
+            edge = np.flatnonzero(np.diff(_KIND[data[at : end + 1]]))
+            if len(edge):
+                end = at + int(edge[-1]) + 1
+            while not len(edge) and end < len(data):  # one word fills the piece: go on to its end
+                edge = np.flatnonzero(np.diff(_KIND[data[end - 1 : end + SLICE]]))
+                end = end + int(edge[0]) if len(edge) else min(end + SLICE, len(data))
+        yield data[at:end]
+        at = end
+
+
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, kind, shape) of the words of a piece."""
     kind = _KIND[data]
     edge = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1])))
     end = np.append(edge[1:], len(data))
     use = kind[edge] != 0
     start, end, kind = edge[use], end[use], kind[edge[use]].astype(U)
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum(_BYTE[data] * _POWER[: len(data)], out=sums[1:])
-    words = mix((sums[end] - sums[start]) * _INVERSE[start] + U(1))
+    if len(data) < len(_POWER):
+        sums = np.zeros(len(data) + 1, U)
+        np.cumsum(_BYTE[data] * _POWER[: len(data)], out=sums[1:])
+        words = mix((sums[end] - sums[start]) * _INVERSE[start] + U(1))
+    else:  # one very long word
+        words = np.array([long_hash(_BYTE[data[a:z]]) for a, z in zip(start.tolist(), end.tolist())], U)
     upper = np.concatenate(([0], np.cumsum(_UPPER[data])))
     upper, size = upper[end] - upper[start], end - start
     case = np.where(upper == 0, 0, np.where(upper == size, 3, np.where(upper == 1, 1, 2))).astype(U)
-    shapes = mix(kind * U(64) + case * U(16) + np.minimum(size, 12).astype(U) + U(1 << 40))
+    return words, kind, mix(kind * U(64) + case * U(16) + np.minimum(size, 12).astype(U) + U(1 << 40))
+
+
+def tokens(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(word buckets, shape buckets) of a whole text."""
+    found = [_words(x) for x in _pieces(text)] or [(np.empty(0, U),) * 3]
+    words, kind, shapes = (np.concatenate(x) for x in zip(*found, strict=True))
     again = np.zeros(len(words), bool)
     again[1:] = words[1:] == words[:-1]
     shapes = np.where(again & (kind < 4), U(12345), np.where(kind == 4, mix(words ^ U(99)), shapes))
     return (words & U(BUCKETS - 1)).astype(np.int32), (shapes & U(BUCKETS - 1)).astype(np.int32)
 
 
-def slices(text: str | None) -> Iterator[np.ndarray]:
-    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    for at in range(0, len(data), SLICE):
-        yield data[at : at + SLICE]
+def add_contexts(sums: np.ndarray, found: np.ndarray, index: np.ndarray) -> None:
+    """Add to sums[b], for each place of a bucket b, the index vectors of b and of the buckets within NEAR places."""
+    for at in range(0, len(found), SLICE):
+        low, high = max(0, at - NEAR), min(len(found), at + SLICE + NEAR)
+        part = found[low:high]
+        around = index[part]
+        for away in range(1, NEAR + 1):
+            around[away:] += index[part[:-away]]
+            around[:-away] += index[part[away:]]
+        part, around = found[at : at + SLICE], around[at - low : at - low + SLICE]
+        order = np.argsort(part, kind="stable")
+        first = np.flatnonzero(np.diff(part[order], prepend=-1))
+        sums[part[order][first]] += np.add.reduceat(around[order], first, axis=0)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,17 +108,8 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums = np.zeros((2, BUCKETS, DIMS), np.float64)
     for batch in batches:
         for text in batch.column("text").to_pylist():
-            for data in slices(text):
-                for stream, found in enumerate(tokens(data)):
-                    if not len(found):
-                        continue
-                    around = index[found]
-                    for away in range(1, NEAR + 1):
-                        around[away:] += index[found[:-away]]
-                        around[:-away] += index[found[away:]]
-                    order = np.argsort(found, kind="stable")
-                    first = np.flatnonzero(np.diff(found[order], prepend=-1))
-                    sums[stream, found[order][first]] += np.add.reduceat(around[order], first, axis=0)
+            for stream, found in enumerate(tokens(text)):
+                add_contexts(sums[stream], found, index)
     yield pa.RecordBatch.from_arrays([pa.array([sums.astype(np.float32).tobytes()], pa.binary())], names=["sums"])
 
 
@@ -89,14 +117,11 @@ def pool(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
     """Features of each text: the mean vector of its words, of their shapes, and the logarithm of their number."""
     out = np.zeros((len(texts), 2 * DIMS + 1))
     for i, text in enumerate(texts):
-        n = 0
-        for data in slices(text):
-            words, shapes = tokens(data)
-            n += len(words)
-            for stream, found in enumerate((words, shapes)):
-                counts = np.bincount(found, minlength=BUCKETS) if len(found) > BUCKETS else None
-                out[i, stream * DIMS : (stream + 1) * DIMS] += counts @ vectors[stream] if counts is not None else vectors[stream][found].sum(axis=0, dtype=np.float64)
-        out[i, :-1] /= max(1, n)
+        both = tokens(text)
+        n = len(both[0])
+        for stream, found in enumerate(both):
+            total = np.bincount(found, minlength=BUCKETS) @ vectors[stream] if n > BUCKETS else vectors[stream][found].sum(axis=0, dtype=np.float64)
+            out[i, stream * DIMS : (stream + 1) * DIMS] = total / max(1, n)
         out[i, -1] = np.log1p(n)
     return out
 
@@ -105,6 +130,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
+def gradients(z: np.ndarray, y: np.ndarray, w: list[np.ndarray]) -> list[np.ndarray]:
+    """Of the mean log loss plus 0.00005 times the squares of both layers' weights."""
+    h = np.tanh(z @ w[0] + w[1])
+    d = (_sigmoid(h @ w[2] + w[3][0]) - y) / len(y)
+    back = np.outer(d, w[2]) * (1 - h * h)
+    return [z.T @ back + 1e-4 * w[0], back.sum(axis=0), h.T @ d + 1e-4 * w[2], np.array([d.sum()])]
+
+
 def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray) -> dict:
     """A network of HIDDEN tanh units learned by Adam on the rows not held, its temperature on the held ones."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
@@ -116,12 +149,8 @@ def fit(x: np.ndarray, y: np.ndarray, held: np.ndarray) -> dict:
         rng.shuffle(train)
         for at in range(0, len(train), 128):
             rows = train[at : at + 128]
-            h = np.tanh(z[rows] @ w[0] + w[1])
-            d = (_sigmoid(h @ w[2] + w[3][0]) - y[rows]) / len(rows)
-            back = np.outer(d, w[2]) * (1 - h * h)
-            grads = [z[rows].T @ back + 1e-4 * w[0], back.sum(axis=0), h.T @ d + 1e-4 * w[2], np.array([d.sum()])]
             step += 1
-            for i, g in enumerate(grads):
+            for i, g in enumerate(gradients(z[rows], y[rows], w)):
                 m[i] = 0.9 * m[i] + 0.1 * g
                 v[i] = 0.999 * v[i] + 0.001 * g * g
                 w[i] -= 0.005 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
@@ -141,18 +170,21 @@ def logits(x: np.ndarray, model: dict) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE) -> dict | None:
     """A model from about `sample` labelled rows, chosen by a hash of the id; None without labelled rows.
 
-    Word vectors, network and temperature (on a fifth of the rows) all come from these rows.
+    Word vectors, network and temperature (on a fifth of the rows) all come from these rows. Labels that are null or of a null
+    id are left out; of several labels of an id the highest counts. Other columns are not read. The whole table is scanned by
+    as many tasks as it has splits; only the sampled texts move.
     """
-    marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("y"))
-    marks = marks.withColumn("draw", F.pmod(F.xxhash64(F.lit(66), "_id"), F.lit(1 << 20)))
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.max(label_col).cast("int").alias("y"))
+    marks = marks.withColumn("draw", F.pmod(F.xxhash64(F.lit(66), "label_id"), F.lit(1 << 20)))
     n = marks.count()
     if not n:
         return None
     marks = marks.where(F.col("draw") < int((1 << 20) * min(1.0, sample / n)))
     marks = F.broadcast(marks)  # about `sample` rows
-    rows = docs.join(marks, F.col(id_col) == F.col("_id")).select(F.col(text_col).alias("text"), "y", F.pmod("draw", F.lit(5)).alias("fold"))
-    rows = rows.coalesce(12).persist()  # about `sample` texts
-    tables = rows.select("text").mapInArrow(_contexts, "sums binary").collect()  # one table of fixed size a task of at most twelve
+    rows = docs.join(marks, F.col("id") == F.col("label_id")).select("text", "y", F.pmod("draw", F.lit(5)).alias("fold"))
+    rows = rows.repartition(TASKS).persist()  # about `sample` texts
+    tables = rows.select("text").mapInArrow(_contexts, "sums binary").collect()  # one table of fixed size a task
     sums = np.zeros((2, BUCKETS, DIMS), np.float64)
     for r in tables:
         sums += np.frombuffer(r["sums"], np.float32).reshape(sums.shape)
