@@ -17,28 +17,34 @@ from kmerloom.llm.common import U, mix
 
 #: Hash buckets of n-grams, n-gram lengths, labelled rows learned from for each language (about), characters in work at a time.
 BUCKETS, LENGTHS, SAMPLE, SLICE = 1 << 14, (2, 3), 3000, 1 << 18
-_LETTER = re.compile(r"[^\W\d_]")
+#: Tasks that count the sampled texts.
+TASKS = 12
+_ASCII_LETTER = re.compile(r"[A-Za-z]")
 _SALT = mix(np.arange(1, 5, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
 
 
-def grams(text: str) -> np.ndarray:
-    """The buckets of all n-grams of a text in lower case, a space at either end."""
-    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
-    out = []
-    for n in LENGTHS:
-        if len(codes) < n:
-            continue
-        total = codes[: len(codes) - n + 1] * _SALT[0]
-        for i in range(1, n):
-            total = (total ^ (total >> U(29))) * _SALT[i] + codes[i : len(codes) - n + 1 + i]
-        out.append((mix(total + U(n)) & U(BUCKETS - 1)).astype(np.int32))
-    return np.concatenate(out) if out else np.empty(0, np.int32)
+def has_letter(text: str | None) -> bool:
+    """Whether a character of a Unicode letter category stands in the text (digits, numerals and marks are none)."""
+    return text is not None and (_ASCII_LETTER.search(text) is not None or any(map(str.isalpha, text)))
+
+
+def _hashed(codes: np.ndarray, n: int) -> np.ndarray:
+    total = codes[: len(codes) - n + 1] * _SALT[0]
+    for i in range(1, n):
+        total = (total ^ (total >> U(29))) * _SALT[i] + codes[i : len(codes) - n + 1 + i]
+    return (mix(total + U(n)) & U(BUCKETS - 1)).astype(np.int32)
+
 
+def grams(text: str) -> Iterator[np.ndarray]:
+    """The buckets of all n-grams of a text in lower case, a space at either end, for at most SLICE places at a time.
 
-def slices(text: str) -> Iterator[str]:
-    """A text in parts of SLICE characters (n-grams across two parts, three in SLICE, are not counted)."""
-    for at in range(0, max(1, len(text)), SLICE):
-        yield text[at : at + SLICE]
+    A slice reads on into the next one, so the n-grams of a long text are those of the whole."""
+    text = f" {text.lower()} "
+    for at in range(0, len(text), SLICE):
+        codes = np.frombuffer(text[at : at + SLICE + max(LENGTHS) - 1].encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
+        found = [_hashed(codes[: SLICE + n - 1], n) for n in LENGTHS if len(codes) >= n]
+        if found:
+            yield np.concatenate(found)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,8 +52,8 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             own = held.setdefault(lang, np.zeros(BUCKETS, np.int64))
-            for part in slices(text):
-                own += np.bincount(grams(part), minlength=BUCKETS)
+            for found in grams(text):
+                own += np.bincount(found, minlength=BUCKETS)
     names = sorted(held)
     yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([held[x].tobytes() for x in names], pa.binary())], names=["lang", "counts"])
 
@@ -55,7 +61,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", key: Column | None = None, sample: int = SAMPLE) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(languages, BUCKETS x languages log probabilities, log priors) from rows with a language and a text.
 
-    About `sample` rows a language are learned from, chosen by a hash of `key`; the priors count all rows.
+    About `sample` rows a language are learned from, chosen by a hash of `key`; the priors count all rows. Rows without a
+    language or a text are left out; other columns are not read. The whole table is scanned by as many tasks as it has
+    splits; only the sampled texts move.
     """
     key = F.col("doc_id") if key is None else key
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(F.lit(77), key), F.lit(1 << 20)).alias("draw"))
@@ -63,10 +71,10 @@ def learn(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", key:
     if not totals:
         return [], np.zeros((BUCKETS, 0), np.float32), np.zeros(0)
     bound = F.coalesce(*[F.when(F.col("lang") == k, F.lit(max(1, int((1 << 20) * min(1.0, sample / n))))) for k, n in sorted(totals.items())])
-    found = rows.where(F.col("draw") < bound).select("lang", "text").coalesce(12).mapInArrow(_counts, "lang string, counts binary").collect()
+    found = rows.where(F.col("draw") < bound).select("lang", "text").repartition(TASKS).mapInArrow(_counts, "lang string, counts binary").collect()
     langs = sorted(totals)
     table = np.zeros((BUCKETS, len(langs)))
-    for r in found:  # one row a language and task of at most twelve
+    for r in found:  # one row a language and task of at most TASKS
         table[:, langs.index(r["lang"])] += np.frombuffer(r["counts"], np.int64)
     logs = np.log(table + 0.5) - np.log((table + 0.5).sum(axis=0))
     prior = np.log(np.array([totals[x] for x in langs], float) / sum(totals.values()))
@@ -79,19 +87,18 @@ def score(texts: list[str | None], langs: list[str], logs: np.ndarray, prior: np
     parts, owner, size = [], [], 0
 
     def add() -> None:
-        rows = [grams(x) for x in parts]
-        starts = np.concatenate(([0], np.cumsum([len(x) for x in rows])[:-1]))
-        np.add.at(totals, owner, np.add.reduceat(logs[np.concatenate(rows)], starts, axis=0, dtype=np.float64))
+        starts = np.concatenate(([0], np.cumsum([len(x) for x in parts])[:-1]))
+        np.add.at(totals, owner, np.add.reduceat(logs[np.concatenate(parts)], starts, axis=0, dtype=np.float64))
 
-    use = [bool(langs) and x is not None and _LETTER.search(x) is not None for x in texts]
+    use = [bool(langs) and has_letter(x) for x in texts]
     for i, text in enumerate(texts):
         if not use[i]:
             continue
-        for part in slices(text):
-            parts.append(part)
+        for found in grams(text):
+            parts.append(found)
             owner.append(i)
-            size += len(part)
-            if size > SLICE:
+            size += len(found)
+            if size > len(LENGTHS) * SLICE:
                 add()
                 parts, owner, size = [], [], 0
     if parts:
@@ -112,7 +119,7 @@ def identify(docs: DataFrame, model: tuple, text_col: str = "text", keep_text: b
     """docs with lang_pred and score, from the text alone.
 
     A null text, and one without a letter, is `und` with score 0; ties go to the first language in order. Long texts are
-    summed in slices. Rows keep their columns (but former lang_pred and score, and the text unless keep_text); an empty table gives no rows.
+    summed in slices without a seam. Rows keep their columns (but former lang_pred and score, and the text unless keep_text); an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages
     names = [c for c in docs.columns if c not in ("lang_pred", "score")]
