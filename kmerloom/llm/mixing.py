@@ -66,7 +66,7 @@ def _reduce(seed: int, last: bool):
 
         def settle(row: dict) -> dict:
             if last:
-                row["frac"], row["open"] = float(_uniform(row["id"], row["size"], seed) < row["frac"]), False
+                row["frac"], row["open"] = float(_uniform(row["id"] or 0, row["size"], seed) < row["frac"]), False
             return row
 
         for table, _ in runs(batches, "key", 8192):
@@ -84,7 +84,7 @@ def _reduce(seed: int, last: bool):
                 elif held is None:
                     held = row
                 else:
-                    u = _uniform(held["id"], row["id"] * 31 + row["size"], seed)
+                    u = _uniform(held["id"] or 0, (row["id"] or 0) * 31 + row["size"], seed)
                     held["frac"], row["frac"] = transfer(held["frac"], held["size"], row["frac"], row["size"], u)
                     done, held = (held, row) if held["frac"] in (0.0, 1.0) else (row, held)
                     done["open"] = False
@@ -112,7 +112,8 @@ def mix_sources(
     size counts the words of the text (runs between ASCII white space; null: 0). A source's copies times sizes sum to its
     target but for the last open fraction, at most one document. Documents pair from large to small, so that one is small.
     No document has more than `cap` copies. Rows of size 0 have the whole copies only. A null source is a source; null ids
-    and repeated rows are rows as any other. The draws hash ids, so reruns agree. An empty table gives no rows.
+    and repeated rows are rows as any other, and of rows equal in id, size and source it is left open which is taken. The
+    draws hash ids, which are whole numbers, so reruns agree. Other columns are not read. An empty table gives no rows.
     """
     rows = cut(docs.select(F.col(id_col).cast("long").alias("id"), words(F.col(text_col)).alias("size"), F.col(source_col).alias("source")), "sizes")
     return _mix(rows, weights, share, cap, seed).withColumnsRenamed({"id": id_col, "source": source_col})
@@ -146,15 +147,16 @@ def _mix(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """docs with each row repeated as often as the mix says; columns as they were.
+    """docs with each row repeated as often as the mix says; columns as they were, whatever their names.
 
     Rows of one id, source and size are drawn together, as one document of their common size, so that texts meet their
-    copies in one exchange by a hash of these three.
+    copies in one exchange by a hash of these three. Null ids, null sources and null texts (size 0) are values as any other.
     """
-    key = F.xxhash64("_id", "_size", F.col("_source").isNull(), "_source")
-    named = docs.withColumns({"_id": F.col(id_col).cast("long"), "_size": words(F.col(text_col)), "_source": F.col(source_col)}).withColumn("_key", key)
-    alike = named.groupBy("_key", "_id", "_size", "_source").agg(F.count("*").alias("n"))
-    alike = cut(alike.select(F.col("_key").alias("id"), (F.col("_size") * F.col("n")).alias("size"), F.col("_source").alias("source")), "alike")
-    made = _mix(alike, **options).where("copies > 0").select(F.col("id").alias("_made"), "copies")
-    joined = named.join(made.hint("merge"), F.col("_key") == F.col("_made"))  # copies grow with the rows: never broadcast, whatever the size
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    key = F.xxhash64("id", "size", F.col("source").isNull(), "source")
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), words(F.col(text_col)).alias("size"), F.col(source_col).alias("source"))
+    named = named.withColumn("key", key)
+    alike = named.groupBy("key", "id", "size", "source").agg(F.count("*").alias("n"))
+    alike = cut(alike.select(F.col("key").alias("id"), (F.col("size") * F.col("n")).alias("size"), "source"), "alike")
+    made = _mix(alike, **options).where("copies > 0").select(F.col("id").alias("made"), "copies")
+    joined = named.join(made.hint("merge"), F.col("key") == F.col("made"))  # copies grow with the rows: never broadcast, whatever the size
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"row.`{c}`") for c in docs.columns])
