@@ -52,12 +52,14 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims:
     as empty. Equal texts share a shard unless together they are larger than one: such a group is cut by id into pieces of
     a quarter shard. Dimensions are the size's logarithm, the columns `dims` (of a group: its least value; null lowest)
     and the id. slot numbers a shard's rows from 0 without gaps. Ties fall by a hash of the text. Repeated rows count each,
-    null ids are rows as any other, an empty table gives no rows; columns that are not named are not read.
+    null ids are rows as any other (spread by their place, as they are alike), an empty table gives no rows; ids are whole
+    numbers, columns that are not named are not read. Histograms have at most 2**DIGIT digits a node, so a node's window
+    sorts no more rows than that, whatever the input; groups on the driver are at most shards * BOULDER.
     """
     shards = 1 << depth
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
-        F.col(id_col).cast("long").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("crc"), F.xxhash64(text).alias("hash"), *[_prefix(d).alias(f"d{i}") for i, d in enumerate(dims)],
+        F.col(id_col).cast("long").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("crc"), F.xxhash64(text).alias("hash"), F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64(id_col)).alias("spread"), *[_prefix(d).alias(f"d{i}") for i, d in enumerate(dims)],
     )
     rows = cut(rows, "rows")
     total, n = rows.agg(F.sum("size"), F.count("*")).first()
@@ -73,8 +75,12 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims:
         coords.append(F.floor((F.col(d) - F.lit(lo if n else 0.0)) * F.lit(scale)).cast("long"))
     small = groups.where(F.col("weight") <= F.lit(target / BOULDER)).select("hash", "crc", "size", "weight", *[c.alias(f"x{i}") for i, c in enumerate(coords)], F.lit(0).alias("node"))
     # at most shards * BOULDER groups are that large, and at most 5 * shards pieces come from those above a shard
-    large = [(r["hash"], r["crc"], r["size"], max(1, -(-4 * r["weight"] // max(1, int(target))) if r["weight"] > target else 1), r["weight"]) for r in groups.where(F.col("weight") > F.lit(target / BOULDER)).collect()]
-    pieces = sorted(((h, c, s, many, i, w / many) for h, c, s, many, w in large for i in range(many)), key=lambda x: (-x[5], x[0], x[4]))
+    large = [(r["hash"], r["crc"], r["size"], max(1, -(-4 * r["weight"] // max(1, int(target))) if r["weight"] > target else 1)) for r in groups.where(F.col("weight") > F.lit(target / BOULDER)).collect()]
+    spark = docs.sparkSession
+    many = F.broadcast(spark.createDataFrame(large, "hash long, crc long, size long, many int"))
+    rows = rows.join(many, ["hash", "crc", "size"], "left").withColumn("piece", F.pmod(F.xxhash64(F.lit(5), "spread"), F.col("many")).cast("int"))
+    held = rows.where("many is not null").groupBy("hash", "crc", "size", "piece").agg(F.sum("size").alias("weight")).collect()  # one row a piece
+    pieces = sorted(((r["hash"], r["crc"], r["size"], r["piece"], r["weight"]) for r in held), key=lambda x: (-x[4], x[0], x[3]))
     place = [0] * len(pieces)
     node = F.col("node")
     for level in range(depth):
@@ -85,7 +91,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims:
         for j, x in enumerate(pieces):
             halves = sides.setdefault(place[j], [0.0, 0.0])
             side = int(halves[1] < halves[0])
-            halves[side] += x[5]
+            halves[side] += x[4]
             place[j] = 2 * place[j] + side
         wanted = {}
         for k, r in facts.items():
@@ -100,15 +106,11 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims:
         own = F.coalesce(*[F.when(node == k, F.shiftleft(F.col(f"x{i}"), COORD) + F.pmod(F.col("hash"), F.lit(1 << COORD))) for k, i in widest.items()])
         none = F.coalesce(*[F.when(node == k, F.lit(w <= 0)) for k, w in wanted.items()])
         small = cut(small.withColumn("_node", 2 * node + F.when(none | (own > bound), 1).otherwise(0)).drop("node").withColumnRenamed("_node", "node"), f"split{level}")
-    spark = docs.sparkSession
     leaf = small.select("hash", "crc", "size", F.col("node").cast("int").alias("shard"))
-    hot = spark.createDataFrame([(x[0], x[1], x[2], x[3], x[4], s) for x, s in zip(pieces, place, strict=True)], "hash long, crc long, size long, many int, piece int, hot int")
-    hot = F.broadcast(hot)  # at most shards * (BOULDER + 5) rows
-    many = F.broadcast(hot.select("hash", "crc", "size", "many").distinct())
-    rows = rows.join(many, ["hash", "crc", "size"], "left")
-    placed = rows.where("many is not null").withColumn("piece", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("many")).cast("int")).join(hot.drop("many"), ["hash", "crc", "size", "piece"]).select("id", "size", "crc", "hash", F.col("hot").alias("shard"))
-    rest = rows.where("many is null").join(leaf, ["hash", "crc", "size"]).select("id", "size", "crc", "hash", "shard")
-    every = cut(placed.union(rest).withColumn("block", F.pmod(F.xxhash64(F.lit(9), "id", "hash"), F.lit(max(1, n // (shards * SLOTS))))), "shards")
+    hot = F.broadcast(spark.createDataFrame([(*x[:4], s) for x, s in zip(pieces, place, strict=True)], "hash long, crc long, size long, piece int, hot int"))
+    placed = rows.where("many is not null").join(hot, ["hash", "crc", "size", "piece"]).select("id", "size", "crc", "hash", "spread", F.col("hot").alias("shard"))
+    rest = rows.where("many is null").join(leaf, ["hash", "crc", "size"]).select("id", "size", "crc", "hash", "spread", "shard")
+    every = cut(placed.union(rest).withColumn("block", F.pmod(F.xxhash64(F.lit(9), "spread", "hash"), F.lit(max(1, n // (shards * SLOTS))))), "shards")
     ends = every.groupBy("shard", "block").agg(F.count("*").alias("_n"))
     ends = ends.select("shard", "block", (F.sum("_n").over(Window.partitionBy("shard").orderBy("block")) - F.col("_n")).alias("_from"))
     nth = F.row_number().over(Window.partitionBy("shard", "block").orderBy("id", "hash")) - 1
