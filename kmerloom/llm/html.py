@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCK = frozenset(
-    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead tr ul caption".split()
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody tfoot thead tr ul caption".split()
 )
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure menu dir".split())
-UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object datalist audio video canvas svg math select".split())
+UNSEEN = frozenset("head script style template noscript title iframe noembed noframes object datalist audio video canvas defs desc metadata symbol annotation annotation-xml".split())
 #: An opening tag closes these open elements, up to the nearest of the scope.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -41,7 +41,8 @@ IMPLIED = {
 _SCOPE = frozenset("table td th caption button object li dd dt ul ol dl div article section body html".split())
 _TAG = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([!?/][^>]*>?))")
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
-_HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!important\s*)?(?:;|$)", re.I)
+_HIDDEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\s*(?:!important\s*)?(?:;|$)", re.I)
+_VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(hidden|collapse|visible)\s*(?:!important\s*)?(?=;|$)", re.I)
 _SPACE = re.compile(r"[ \t\r\n\f]+")
 
 
@@ -57,6 +58,12 @@ def _shown(tag: str, attrs: dict[str, str]) -> bool:
     return not (tag in UNSEEN or "hidden" in attrs or (tag == "dialog" and "open" not in attrs) or _HIDDEN.search(attrs.get("style", "")))
 
 
+def _visible(attrs: dict[str, str], inherited: bool) -> bool:
+    """Whether an element's own text shows: its last visibility, else what it inherits; unlike display it may be set back below."""
+    found = _VISIBILITY.findall(attrs.get("style", ""))
+    return found[-1].lower() == "visible" if found else inherited
+
+
 def events(source: str) -> Iterator[tuple[str, str, dict | None]]:
     """("open", tag, attributes), ("text", text, None) and ("close", tag, None), well nested."""
     stack: list[str] = []
@@ -190,29 +197,50 @@ class Flow:
         return self.lines
 
 
-def _grid(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Cells (lines, columns spanned) padded to their columns, two spaces between."""
+def _grid(rows: list[list[tuple[list[str], int, int]]]) -> list[str]:
+    """Cells (lines, columns, rows spanned) padded to their columns, two spaces between; a cell that reaches into the rows below
+    holds its columns there."""
+    placed: list[list[tuple[int, list[str], int]]] = []
     widths: list[int] = []
+    held: list[int] = []  # for each column, rows that a cell above still reaches into
     for row in rows:
-        at = 0
-        for lines, span in row:
+        line, at = [], 0
+        below = [max(0, x - 1) for x in held]
+        for lines, span, deep in row:
+            while at < len(held) and held[at]:
+                at += 1
             widths += [0] * (at + span - len(widths))
+            below += [0] * (at + span - len(below))
+            for i in range(at, at + span):
+                below[i] = max(below[i], deep - 1)
             if span == 1:
                 widths[at] = max(widths[at], max(map(width, lines), default=0))
+            line.append((at, lines, span))
             at += span
+        placed.append(line)
+        held = below
+    for at, lines, span in (cell for line in placed for cell in line if cell[2] > 1):
+        room = sum(widths[at : at + span]) + 2 * (span - 1)
+        widths[at + span - 1] += max(0, max(map(width, lines), default=0) - room)
+    starts = [0]
+    for x in widths:
+        starts.append(starts[-1] + x + 2)
     out = []
-    for row in rows:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
-            line, at = "", 0
-            for lines, span in row:
-                text = lines[k] if k < len(lines) else ""
-                room = sum(widths[at : at + span]) + 2 * (span - 1)
-                line += text + " " * max(0, room - width(text)) + "  "
-                at += span
+    for row in placed:
+        for k in range(max((len(lines) for _, lines, _ in row), default=0)):
+            line = ""
+            for at, lines, _ in row:
+                if k < len(lines):
+                    line += " " * (max(starts[at] - width(line), 2 if line else 0)) + lines[k]
             out.append(line.rstrip())
     return out
 
 
+def _span(attrs: dict[str, str], name: str) -> int:
+    found = attrs.get(name, "1").strip()
+    return min(int(found), 1000) if found.isascii() and found.isdigit() and int(found) else 1
+
+
 def render(source: str | None) -> str:
     """All visible text of a page."""
     flow, stack = Flow(), []
@@ -221,7 +249,7 @@ def render(source: str | None) -> str:
     tables: list[dict] = []
     for kind, name, attrs in events(source or ""):
         if kind == "text":
-            if hidden:
+            if hidden or stack and not stack[-1]["visible"]:
                 continue
             if tables and tables[-1]["flow"] is None and not name.strip():
                 continue
@@ -229,7 +257,8 @@ def render(source: str | None) -> str:
             continue
         if kind == "open":
             shown = _shown(name, attrs)
-            state = {"tag": name, "hidden": not shown, "indent": len(flow.indent), "flow": flow}
+            visible = _visible(attrs, stack[-1]["visible"] if stack else True)
+            state = {"tag": name, "hidden": not shown, "visible": visible, "indent": len(flow.indent), "flow": flow}
             stack.append(state)
             hidden += not shown
             if hidden:
@@ -238,19 +267,18 @@ def render(source: str | None) -> str:
                 flow.end(True)
             elif name == "hr":
                 flow.gap()
-                flow.text("---")
+                flow.text("---" if visible else "")
                 flow.gap()
             elif name == "img":
-                flow.text(attrs.get("alt", ""))
+                flow.text(attrs.get("alt", "") if visible else "")
             elif name == "input":
-                if attrs.get("type", "text").lower() in ("submit", "button", "reset", "text"):
+                if visible and attrs.get("type", "text").lower() in ("submit", "button", "reset", "text"):
                     flow.text(attrs.get("value", ""))
             elif name in ("td", "th") and tables:
                 table = tables[-1]
                 if not table["rows"]:
                     table["rows"].append([])
-                span = attrs.get("colspan", "1").strip()
-                table["rows"][-1].append([None, min(int(span), 1000) if span.isascii() and span.isdigit() and int(span) else 1])
+                table["rows"][-1].append([None, _span(attrs, "colspan"), _span(attrs, "rowspan")])
                 flow = table["flow"] = Flow()
             elif name == "tr" and tables:
                 tables[-1]["rows"].append([])
@@ -263,8 +291,11 @@ def render(source: str | None) -> str:
                         flow.indent.append("  ")
                 elif name == "li":
                     ordered = lists[-1] if lists else [False, 0]
-                    flow.mark = f"{ordered[1]}. " if ordered[0] else "- "
+                    flow.mark = "" if not visible else f"{ordered[1]}. " if ordered[0] else "- "
                     ordered[1] += 1
+                elif name == "optgroup":
+                    flow.text(attrs.get("label", "") if visible else "")
+                    flow.end()
                 elif name in ("blockquote", "dd"):
                     flow.indent.append("  ")
                 elif name == "table":
@@ -285,7 +316,7 @@ def render(source: str | None) -> str:
             table = tables.pop()
             flow = table["outer"]
             flow.gap()
-            for line in _grid([[(c[0] or [], c[1]) for c in row] for row in table["rows"]]):
+            for line in _grid([[(c[0] or [], c[1], c[2]) for c in row] for row in table["rows"]]):
                 flow.verbatim(line)
                 flow.end(True)
             flow.gap()
@@ -313,7 +344,9 @@ def _kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, text.
 
-    Null and empty pages, and pages with nothing visible, have an empty text. Ids and urls pass through, null or not; repeated
+    Seen are all options of a select, labels of drawings and signs of formulas; not seen are scripts and what stands in their stead,
+    fallbacks of objects and media, and elements hidden by display; visibility counts element by element. Ids are whole
+    numbers. Null and empty pages, and pages with nothing visible, have an empty text. Ids and urls pass through, null or not; repeated
     rows repeat; an empty table gives no rows; other columns are not read. Whole pages are rendered, whatever their length.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
