@@ -94,13 +94,61 @@ def crc16(data: bytes) -> int:
     return c
 
 
+#: Fixed values of Layer II: (subbands, bits of an allocation) of each stretch of subbands, by table.
+ALLOCATION = {"a": ((11, 4), (12, 3), (4, 2)), "b": ((11, 4), (12, 3), (7, 2)), "c": ((2, 4), (6, 3)), "d": ((2, 4), (10, 3)), "low": ((4, 4), (7, 3), (19, 2))}
+
+
+def allocation_bits(h: Header) -> list[int]:
+    """The bits of each subband's allocation in a Layer II frame."""
+    each = h.bitrate // h.channels
+    if h.version != 1:
+        name = "low"
+    elif each < 56:
+        name = "d" if h.rate == 32000 else "c"
+    else:
+        name = "b" if each >= 96 and h.rate != 48000 else "a"
+    return [bits for count, bits in ALLOCATION[name] for _ in range(count)]
+
+
+class _Bits:
+    def __init__(self, data: bytes):
+        self.value, self.left = int.from_bytes(data, "big"), 8 * len(data)
+
+    def take(self, n: int) -> int:
+        self.left -= n
+        return self.value >> max(0, self.left) & ((1 << n) - 1) if self.left >= 0 else 0
+
+
+def crc16_bits(value: int, n: int) -> int:
+    """crc16 of the n low bits of a number, the high one first."""
+    c = 0xFFFF
+    for i in range(n - 1, -1, -1):
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if (c >> 15 ^ value >> i) & 1 else 0)
+    return c
+
+
+def _covered_by_layer2(data: bytes, at: int, h: Header) -> int:
+    """Bits after the checksum that it covers: all allocations, and two bits of scale factor selection for each that is not 0."""
+    bits = _Bits(bytes(data[at + 6 : at + min(h.size, 6 + 128)]))
+    bound = 32 if h.mode != 1 else 4 * (h.extension + 1)
+    total = 0
+    for band, n in enumerate(allocation_bits(h)):
+        for _ in range(h.channels if band < bound else 1):
+            total += n + 2 * (h.channels if band >= bound else 1) * (bits.take(n) != 0)
+    return total
+
+
 def checksum_ok(data: bytes, at: int, h: Header) -> bool | None:
-    """Whether a protected frame's checksum holds; None where it has none or covers Layer II allocations, which are not decoded."""
-    if not h.protected or h.layer == 2:
+    """Whether a protected frame's checksum holds; None where it has none."""
+    if not h.protected:
         return None
     stored = int.from_bytes(data[at + 4 : at + 6], "big")
     if h.layer == 3:
         return crc16(bytes(data[at + 2 : at + 4]) + bytes(data[at + 6 : at + 6 + h.side])) == stored
+    if h.layer == 2:
+        n = _covered_by_layer2(data, at, h)
+        body = int.from_bytes(data[at + 6 : at + 6 + -(-n // 8)], "big") >> -n % 8
+        return crc16_bits(int.from_bytes(data[at + 2 : at + 4], "big") << n | body, 16 + n) == stored
     bound = 32 if h.mode != 1 else 4 * (h.extension + 1)
     bits = 4 * (bound * h.channels + (32 - bound))
     return crc16(bytes(data[at + 2 : at + 4]) + bytes(data[at + 6 : at + 6 + bits // 8])) == stored
@@ -308,7 +356,7 @@ def encode(payload: bytes, length: int) -> bytes:
 
 
 def read_payload(data: bytes, stream: Stream) -> bytes:
-    return b"".join(data[a + n - UNIT : a + n] for a, n in zip(stream.offsets, stream.sizes, strict=True))
+    return b"".join(data[a + max(0, n - UNIT) : a + n] for a, n in zip(stream.offsets, stream.sizes, strict=True))
 
 
 def feature(s: Stream) -> str:
@@ -351,26 +399,41 @@ def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, media): each whole text as MPEG audio bytes; a null text is empty."""
+    """(id, media): each whole text as MPEG audio bytes; a null text is empty. Ids are whole numbers; null ones and repeated rows
+    pass through, an empty table gives no rows, other columns are not read."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_encoded, "id long, media binary").withColumnRenamed("id", id_col)
 
 
+_DIGESTS = {
+    "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(),
+    "feature": pa.string(), "duration_num": pa.int64(), "duration_den": pa.int64(), "frames": pa.int64(), "checked": pa.int64(), "broken": pa.int64(), "seek": pa.list_(pa.int64()),
+}
+
+
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     for batch in batches:
         out = []
         for x in batch.column("media"):
             media = x.as_py()
+            if media is None:
+                out.append((None,) * len(_DIGESTS))
+                continue
             s = parse(media)
             back = read_payload(media, s)
-            out.append((int(s.tags["TXXX:length"]), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(s)))
-        yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([r[i] for r in out], t) for i, t in enumerate(types))], names=["id", *names])
+            length = s.tags.get("TXXX:length", "")
+            n = int(length) if length.isascii() and length.isdigit() and int(length) <= len(back) else None
+            out.append((n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(s), s.duration.numerator, s.duration.denominator, len(s.offsets), s.checked, s.broken, s.seconds))
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array([r[i] for r in out], t) for i, t in enumerate(_DIGESTS.values()))], names=["id", *_DIGESTS])
 
 
 def payload_digests(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """Digests of what store_texts stored, read back from its bytes."""
+    """Digests of what store_texts stored, read back from its bytes, with the exact duration (a fraction of a second), counts of
+    frames and of checked and broken checksums, and the offset of each second's first frame.
+
+    Null media give nulls; bytes that store_texts did not make have a null n_bytes, and as payload the ends of their frames.
+    Ids are whole numbers, null ones and repeated rows pass through, an empty table gives no rows, other columns are not read.
+    """
     rows = media.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("media"))
-    schema = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return rows.mapInArrow(_digested, schema).withColumnRenamed("id", id_col)
+    kinds = {pa.int64(): "long", pa.string(): "string", pa.list_(pa.int64()): "array<long>"}
+    return rows.mapInArrow(_digested, "id long, " + ", ".join(f"{c} {kinds[t]}" for c, t in _DIGESTS.items())).withColumnRenamed("id", id_col)
