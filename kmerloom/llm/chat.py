@@ -50,7 +50,7 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
 
     spans are the (start, length) in code points, from 0, of the bodies of the roles in `learn`: the loss mask. attachments
     are the parts that are not text, in the order of their placeholders, with turn, type, ref and expanded tokens.
-    Turns stand in the order of turn, then role, then content; null turns first. A null role or text is empty, null content
+    Turns stand in the order of turn, then role, then the texts of the content, as they are unescaped; null turns first. A null role or text is empty, null content
     has no parts, an unknown type becomes `<|unknown|>`, repeated rows are turns of their own, a null conversation is one
     conversation, an empty table gives no rows. Offsets come from a running sum over rows; a conversation's text is
     gathered once, as its one output cell needs. Other columns are not read.
@@ -59,7 +59,8 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     rows = rows.withColumn("body", F.array_join(F.transform("parts", _visit), ""))
     rows = rows.withColumn("head", F.concat(F.lit("<|"), escape(F.col("role")), F.lit("|>\n")))
     rows = rows.withColumn("size", F.length("head") + F.length("body") + len(END))
-    order = Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), "role", "body")
+    raw = F.array_join(F.transform("parts", lambda p: F.coalesce(p["text"], F.lit(""))), "")
+    order = Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_first(), "role", raw, "body")
     rows = rows.withColumn("nth", F.row_number().over(order)).withColumn("from", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size") + F.length("head"))
     media = F.filter("parts", lambda p: F.coalesce(F.lower(p["type"]) != "text", F.lit(True)))
     media = F.transform(media, lambda p: F.struct(F.col("turn").cast("long").alias("turn"), F.lower(p["type"]).alias("type"), p["ref"].alias("ref"), _tokens(p).alias("tokens")))

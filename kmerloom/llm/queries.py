@@ -65,6 +65,7 @@ def op9_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return made.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+        F.size("attachments").cast("long").alias("n_attachments"), F.aggregate("attachments", F.lit(0).cast("long"), lambda n, a: n + a["tokens"]).alias("attachment_tokens"),
     )
 
 
@@ -92,7 +93,7 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(n) AS BIGINT) AS formatted_chars
+  CAST(sum(n) AS BIGINT) AS formatted_chars, CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS attachment_tokens
 FROM told GROUP BY conv_id
 """
 
@@ -111,5 +112,26 @@ FROM embeddings e JOIN least l ON l.a = e.vec_id LEFT JOIN (SELECT a, count(*) A
 """
 
 
+_OP2 = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t\\n\\v\\f\\r]+') AS words FROM documents
+), sets AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_sort(list_distinct([array_to_string(words[i:i + 4], ' ') FOR i IN range(1, len(words) - 3)])) END AS s FROM w
+), classes AS MATERIALIZED (SELECT s, min(doc_id) AS rep, count(*) AS weight, any_value(len(s)) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+member AS MATERIALIZED (SELECT sets.doc_id, classes.rep, classes.weight, len(sets.s) AS n FROM sets LEFT JOIN classes ON classes.s = sets.s),
+token AS MATERIALIZED (SELECT rep, n, weight, unnest(s) AS t FROM classes),
+pair AS MATERIALIZED (
+  SELECT a.rep AS a, b.rep AS b, any_value(a.weight) AS wa, any_value(b.weight) AS wb FROM token a JOIN token b ON b.t = a.t AND a.rep < b.rep
+  GROUP BY a.rep, b.rep HAVING 5 * count(*) >= 4 * (any_value(a.n) + any_value(b.n) - count(*))
+), link AS MATERIALIZED (SELECT a, b, wb AS weight FROM pair UNION ALL SELECT b, a, wa FROM pair),
+reach(a, b) AS (SELECT DISTINCT a, a FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+least AS (SELECT a, min(b) AS low FROM reach GROUP BY a), links AS (SELECT a, sum(weight) AS k FROM link GROUP BY a)
+SELECT m.doc_id, CAST(m.n AS BIGINT) AS n_shingles, coalesce(m.rep, m.doc_id) AS class_id,
+  CAST(coalesce(m.weight - 1, 0) + coalesce(links.k, 0) AS BIGINT) AS n_links, coalesce(least.low, m.rep, m.doc_id) AS component_id
+FROM member m LEFT JOIN links ON links.a = m.rep LEFT JOIN least ON least.a = m.rep
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_parts": _OP9, "op10_pstable_neardup": _OP10}
+    return {"op2_chosen_path_join": _OP2, "op9_chat_parts": _OP9, "op10_pstable_neardup": _OP10}
