@@ -142,3 +142,44 @@ def splits(seq: Column | str, letters: str) -> Column:
 def edits(a: Column | str, b: Column | str) -> Column:
     """Columns of an aligned pair of texts that differ, gaps as well."""
     return hamming(a, b)
+
+
+def base_letter(x: Column | str) -> Column:
+    """The upper-case letter of a nucleotide, N for any other."""
+    return F.when(F.upper(_col(x)).isin(*BASES), F.upper(_col(x))).otherwise("N")
+
+
+def kmer_array(seq: Column | str, k: int) -> Column:
+    """All k-letter windows of a sequence in order."""
+    s = _col(seq)
+    places = F.when(F.length(s) >= k, F.sequence(F.lit(1), F.greatest(F.length(s) - k + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.substr(s, i, F.lit(k)))
+
+
+def same_strand(a: Column | str, b: Column | str, k: int) -> Column:
+    """Whether two sequences share more k-mers as they stand than with one turned; a tie says turned."""
+    own = F.array_distinct(kmer_array(a, k))
+    return F.size(F.array_intersect(own, kmer_array(b, k))) > F.size(F.array_intersect(own, kmer_array(reverse_complement(b), k)))
+
+
+def clean_name(name: Column | str, find: str, replace: str = "") -> Column:
+    """A sequence's name with all that a pattern finds replaced."""
+    return F.regexp_replace(_col(name), find, replace)
+
+
+def pack_words(kmer: Column | str, k: int, word: int = 31) -> Column:
+    """2 bits a base in words of at most 31 letters, in order: for k-mers of any length."""
+    s = _col(kmer)
+    return F.array(*[pack(F.substr(s, F.lit(i + 1), F.lit(min(word, k - i)))) for i in range(0, k, word)])
+
+
+def unpack_words(words: Column, k: int, word: int = 31) -> Column:
+    return F.concat(*[unpack(F.element_at(words, n + 1), min(word, k - i)) for n, i in enumerate(range(0, k, word))])
+
+
+def cigar_of(query: Column | str, target: Column | str) -> Column:
+    """The CIGAR text of two aligned texts with gaps as dashes."""
+    q, t = _col(query), _col(target)
+    kinds = F.transform(F.sequence(F.lit(1), F.greatest(F.length(q), F.lit(1))), lambda i: F.when(F.substr(q, i, F.lit(1)) == "-", "D").when(F.substr(t, i, F.lit(1)) == "-", "I").otherwise("M"))
+    runs = F.regexp_extract_all(F.array_join(kinds, ""), F.lit("(M+|I+|D+)"), 1)
+    return F.when(F.length(q) == 0, "").otherwise(F.array_join(F.transform(runs, lambda x: F.concat(F.length(x).cast("string"), F.left(x, F.lit(1)))), ""))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.functions import masks
 from kmerloom.functions.sequence import canonical, reverse_complement
-from kmerloom.operators.graph import oriented
+from kmerloom.operators.graph import oriented, overlaps
 from kmerloom.operators.unitigs import unitig_positions
 from kmerloom.plans.runtime import cut
 
@@ -51,13 +51,8 @@ def without(graph: DataFrame, at: DataFrame, drop: DataFrame) -> DataFrame:
 
 def consistent(graph: DataFrame) -> DataFrame:
     """The graph with only those edges whose other end it has in the same colour."""
-    ahead = oriented(graph).select("km", "color", F.explode(masks.bases(F.col("out_mask"))).alias("b"))
-    ahead = ahead.withColumn("to", canonical(F.concat(F.expr("substr(km, 2)"), F.col("b"))))
-    out = ahead.join(graph.select(F.col("ck").alias("to"), "color"), ["to", "color"], "left_semi").groupBy("km", "color").agg(F.bit_or(masks.bit(F.col("b"))).alias("m"))
-    own = out.where(F.col("km") == canonical("km")).select(F.col("km").alias("ck"), "color", F.col("m").alias("_o"))
-    rev = out.where(reverse_complement("km") == canonical("km")).select(canonical("km").alias("ck"), "color", masks.mirror(F.col("m")).alias("_i"))
-    rows = graph.drop("in_mask", "out_mask").join(own, ["ck", "color"], "left").join(rev, ["ck", "color"], "left")
-    return rows.select("ck", "color", "cov", F.coalesce("_i", F.lit(0)).alias("in_mask"), F.coalesce("_o", F.lit(0)).alias("out_mask"))
+    kept = lambda own, there: F.col(own).bitwiseAND(F.col(there)).alias(own)
+    return overlaps(graph).select("ck", "color", "cov", kept("in_mask", "ins"), kept("out_mask", "outs"))
 
 
 def cleaned(graph: DataFrame, tip: int, least: float = 0.0, pop: bool = True) -> DataFrame:

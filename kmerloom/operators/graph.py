@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from kmerloom.functions import masks
 from kmerloom.functions.sequence import canonical, complement, reverse_complement
 from kmerloom.operators.kmers import counted, kmerize
+from kmerloom.plans.runtime import cut
 
 
 def build(kmers: DataFrame, color: str = "color") -> DataFrame:
@@ -55,9 +56,10 @@ def remove(graph: DataFrame, *others: DataFrame) -> DataFrame:
 
 
 def numbered(graph: DataFrame) -> DataFrame:
-    """k-mers with their 0-based position in sorted order: ranges are dealt first, then counted, so no task sorts all."""
+    """k-mers with their 0-based position in sorted order: ranges are dealt and written first, then counted, so no task sorts all
+    and every reader sees the same ranges."""
     parts = int(graph.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = graph.select("ck").distinct().repartitionByRange(parts, "ck").withColumn("_p", F.spark_partition_id())
+    dealt = cut(graph.select("ck").distinct().repartitionByRange(parts, "ck").withColumn("_p", F.spark_partition_id()), "ranges")
     inside = dealt.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy("ck")))
     sizes = dealt.groupBy("_p").agg(F.count("*").alias("_c"))
     before = sizes.withColumn("_b", F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).select("_p", "_b")
@@ -99,21 +101,30 @@ def prev_kmers(graph: DataFrame) -> DataFrame:
     return oriented(graph).select("km", "color", F.explode(masks.bases(F.col("in_mask"))).alias("b")).select("km", "color", F.concat("b", F.expr("substr(km, 1, length(km) - 1)")).alias("prev"))
 
 
+def overlaps(graph: DataFrame) -> DataFrame:
+    """graph with ins and outs: the masks of all k-mers of the same colour, in either direction, that overlap by k - 1 letters.
+
+    Oriented k-mers are grouped by their first k - 1 letters; each row asks that table with the k - 1 letters at either end."""
+    rest = lambda x: F.expr(f"substr({x}, 2)")
+    starts = oriented(graph).groupBy(F.expr("substr(km, 1, length(km) - 1)").alias("_x"), F.col("color").alias("_color")).agg(F.bit_or(masks.bit(F.right("km", F.lit(1)))).alias("_m"))
+    rows = graph.withColumn("_rc", reverse_complement("ck"))
+    ahead = starts.withColumnsRenamed({"_m": "_o"})
+    rows = rows.join(ahead, (rest("ck") == F.col("_x")) & (F.col("color") == F.col("_color")), "left").drop("_x", "_color")
+    behind = starts.withColumnsRenamed({"_m": "_i"})
+    rows = rows.join(behind, (rest("_rc") == F.col("_x")) & (F.col("color") == F.col("_color")), "left").drop("_x", "_color", "_rc")
+    return rows.select(*graph.columns, F.coalesce(masks.mirror(F.col("_i")), F.lit(0)).alias("ins"), F.coalesce("_o", F.lit(0)).alias("outs"))
+
+
 def infer_edges(graph: DataFrame) -> DataFrame:
     """Edges between every two covered k-mers of a colour that overlap in k - 1 letters, whether read together or not."""
-    both = oriented(graph).select("km", "color")
-    ahead = both.withColumn("b", F.explode(F.array(*map(F.lit, "ACGT")))).withColumn("to", F.concat(F.expr("substr(km, 2)"), "b"))
-    out = ahead.join(both.select(F.col("km").alias("to"), "color"), ["to", "color"], "left_semi").groupBy("km", "color").agg(F.bit_or(masks.bit(F.col("b"))).alias("out_mask"))
-    own = out.where(F.col("km") == canonical("km")).select(F.col("km").alias("ck"), "color", F.col("out_mask").alias("o"))
-    rev = out.where(reverse_complement("km") == canonical("km")).select(canonical("km").alias("ck"), "color", masks.mirror(F.col("out_mask")).alias("i"))
-    rows = graph.select("ck", "color", "cov").join(own, ["ck", "color"], "left").join(rev, ["ck", "color"], "left")
-    return rows.select("ck", "color", "cov", F.coalesce("i", F.lit(0)).alias("in_mask"), F.coalesce("o", F.lit(0)).alias("out_mask"))
+    return overlaps(graph).select("ck", "color", "cov", F.col("ins").alias("in_mask"), F.col("outs").alias("out_mask"))
 
 
 def color_of(colors: DataFrame, name: Column) -> DataFrame:
-    """The colour of a sample by its name without case, if one has it."""
+    """The colour of a sample by its name without case, if just one has it; else the name as a number, if it is one; else -1."""
     found = colors.where(F.lower("sample_name") == F.lower(name)).agg(F.count("*").alias("n"), F.min("color").alias("c"))
-    return found.select(F.when(F.col("n") == 1, F.col("c")).otherwise(-1).alias("color"))
+    number = F.when(F.col("n") == 0, name.try_cast("int"))
+    return found.select(F.when(F.col("n") == 1, F.col("c")).otherwise(F.coalesce(number, F.lit(-1))).alias("color"))
 
 
-__all__ = ["between", "build", "color_of", "counted", "from_text", "head", "infer_edges", "join", "kmerize", "lookup", "next_kmers", "numbered", "oriented", "prev_kmers", "remove", "tail", "text", "wide"]
+__all__ = ["between", "build", "color_of", "counted", "from_text", "head", "infer_edges", "join", "kmerize", "lookup", "next_kmers", "numbered", "oriented", "overlaps", "prev_kmers", "remove", "tail", "text", "wide"]

@@ -51,12 +51,25 @@ def none_within(points: DataFrame, others: DataFrame, key: str, window: int) ->
     return points.join(near, key, "left_anti")
 
 
-def merged(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Unions of overlapping closed intervals (start, stop) of each group."""
-    order = Window.partitionBy(*by).orderBy("start", "stop")
-    new = F.when(F.col("start") <= F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)
-    marked = rows.withColumn("_f", new).withColumn("_g", F.sum("_f").over(order))
-    return marked.groupBy(*by, "_g").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_g")
+def merged(rows: DataFrame, by: list[str], size: int = 100_000) -> DataFrame:
+    """Unions of overlapping closed intervals (start, stop) of each group.
+
+    Rows are sorted within bins of their starts only. What crosses bins (how far earlier intervals reach, and how many unions
+    begin before) goes through running ends of one row a bin, so no task sorts a whole group.
+    """
+    keys = [*by, "_bin"]
+    rows = rows.where("start is not null and stop is not null").select(*by, "start", "stop", F.floor(F.col("start") / size).alias("_bin"))
+    earlier = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    reach = rows.groupBy(*keys).agg(F.max("stop").alias("_to")).withColumn("_reach", F.max("_to").over(earlier)).drop("_to")
+    order = Window.partitionBy(*keys).orderBy("start", "stop")
+    before = F.greatest("_reach", F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys]
+    rows = rows.alias("r").join(reach.alias("b"), same).select(*[f"r.{c}" for c in keys], "start", "stop", "_reach")
+    rows = rows.withColumn("_f", F.when(F.col("start") <= before, 0).otherwise(1)).withColumn("_g", F.sum("_f").over(order))
+    parts = rows.groupBy(*keys, "_g").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("_f").alias("_new"))
+    begun = parts.groupBy(*keys).agg(F.sum("_new").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    parts = parts.alias("r").join(begun.alias("b"), same).select(*[f"r.{c}" for c in by], "start", "stop", (F.col("_before") + F.col("_g")).alias("_g"))
+    return parts.groupBy(*by, "_g").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_g")
 
 
 def longest(rows: DataFrame, by: list[str], n: int) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kmerloom.functions import masks
 from kmerloom.functions.sequence import canonical, complement
-from kmerloom.operators.graph import next_kmers
+from kmerloom.operators.graph import counted, next_kmers
 from kmerloom.plans.components import components
 from kmerloom.plans.runtime import cut
 
@@ -487,3 +487,54 @@ def gaps_filled(graph: DataFrame, at: DataFrame, kmers: DataFrame, key: str, mos
     out = rows.groupBy("component").cogroup(near.groupBy("_at")).applyInPandas(kernel, f"_key {kind['_key']}, color int, start {kind['start']}, stop {kind['stop']}, seq string")
     far = gaps.where("not _same").select("_key", "color", "start", "stop", F.lit(None).cast("string").alias("seq"))
     return out.unionByName(far).withColumnRenamed("_key", key)
+
+
+def partitions(graph: DataFrame, at: DataFrame, links: DataFrame, rois: DataFrame, color: int) -> DataFrame:
+    """(contig, length, novels): the contigs that novel k-mers (ck) of a colour lie on, each once whatever its direction.
+
+    In the order of k-mers, every novel k-mer that lies on no contig yet starts a link-guided walk; a k-mer on several contigs goes
+    to the longest (the earliest in a tie), and contigs that keep no k-mer are left out. `at` is color_components; a colour's
+    component with novel k-mers meets in one task.
+    """
+
+    def kernel(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        local, held, colors = _of_component(left)
+        novel = set(right["seed"])
+        best: dict[str, str] = {}
+        for seed in sorted(novel):
+            if seed in best:
+                continue
+            kmers = walk(local, seed, colors, links=held)
+            text = contig(kmers)
+            for x in {low(x) for x in kmers} & novel:
+                if x not in best or len(text) > len(best[x]):
+                    best[x] = text
+        kept = sorted({low(x) for x in best.values()})
+        k = len(next(iter(novel)))
+        count = [len({low(x[i : i + k]) for i in range(len(x) - k + 1)} & novel) for x in kept]
+        return pd.DataFrame({"contig": kept, "length": [len(x) for x in kept], "novels": count})
+
+    seeds = rois.select("ck").join(at.where(F.col("color") == color), "ck").select(F.col("component").alias("_at"), F.col("ck").alias("seed"))
+    rows = _rows_at(graph.where(F.col("color") == color), at, links, seeds.withColumnRenamed("_at", "component"))
+    return rows.groupBy("component").cogroup(seeds.groupBy("_at")).applyInPandas(kernel, "contig string, length long, novels long")
+
+
+def corrected(graph: DataFrame, filled: DataFrame, k: int) -> DataFrame:
+    """The graph with the k-mers of filled gaps (color, seq; of gaps_filled) that it lacks: coverages add up, edges unite."""
+    more = counted(filled.where("seq is not null"), k)
+    both = graph.select("ck", "color", "cov", "in_mask", "out_mask").unionByName(more)
+    return both.groupBy("ck", "color").agg(F.sum("cov").alias("cov"), F.bit_or("in_mask").alias("in_mask"), F.bit_or("out_mask").alias("out_mask"))
+
+
+def dfs_all(graph: LocalGraph, seeds: Iterable[str], rule: str, colors: list[int], **options) -> set[tuple[str, str]] | None:
+    """The union of the subgraphs around several seeds; None if no seed's is accepted."""
+    found = [x for x in (dfs(graph, s, rule, colors, **options) for s in seeds) if x is not None]
+    return set().union(*found) if found else None
+
+
+def with_neighbours(graph: LocalGraph, edges: set[tuple[str, str]], colors: list[int]) -> set[tuple[str, str]]:
+    """Edges of a subgraph and all edges of the colours that leave or enter its k-mers."""
+    out = set(edges)
+    for km in {x for e in edges for x in e}:
+        out |= {(km, x) for x in graph.neighbours(km, True, colors)} | {(x, km) for x in graph.neighbours(km, False, colors)}
+    return out

@@ -5,9 +5,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kmerloom.functions import masks
+from kmerloom.functions import masks, numbers
 from kmerloom.functions import sequence as S
-from kmerloom.operators import align, annotate, calls, clean, contigs, evaluate, filters, graph, inheritance, intervals, prefilter, simulate, traverse, unitigs
+from kmerloom.operators import align, annotate, calls, clean, contigs, evaluate, filters, graph, haplotypes, inheritance, intervals, prefilter, simulate, traverse, unitigs
 from kmerloom.plans.catalog import K, Catalog, sql
 
 _QUERIES: dict[str, Callable[[Catalog], DataFrame]] = {}
@@ -15,11 +15,13 @@ _ORACLES: dict[str, str] = {}
 _RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
 
 
-#: Queries are listed by this number, the least costly first: 0 reads no k-mers, 1 gives few rows, 2 about a row a k-mer.
+#: Queries are listed by this number, the least costly first: 0 reads no k-mers, 1 gives few rows, 2 about a row a k-mer, and 3
+#: walks on components in Python or doubles pointers over all k-mers.
 _RANK: dict[str, int] = {}
 _MANY = frozenset(
-    "novel_kmers graph_build graph_join graph_remove graph_sort edge_strings degrees edge_bytes graph_view next_kmers prev_kmers infer_edges secondary_colors low_coverage shared_kmers recover_excluded variant_seeds single_parent_kmers label_kmers evaluate_rois contig_distance_to_end copy_index accounting kmer_index pack_kmer feature_table consistent_edges unitig_sequences tips orphans contamination unanchored prefiltered".split()
+    "novel_kmers graph_build graph_join graph_remove graph_sort edge_strings degrees edge_bytes graph_view next_kmers prev_kmers infer_edges secondary_colors low_coverage shared_kmers recover_excluded variant_seeds single_parent_kmers label_kmers evaluate_rois contig_distance_to_end copy_index accounting kmer_index pack_kmer feature_table consistent_edges mappable_kmers walk_edges".split()
 )
+_SLOW = frozenset("tips contamination unanchored orphans prefiltered unitig_sequences link_build link_lookup gap_fill walk_links".split())
 
 
 def query(needs: str | None = None, body: str = "", more: str = "") -> Callable:
@@ -28,7 +30,7 @@ def query(needs: str | None = None, body: str = "", more: str = "") -> Callable:
         if needs is not None:
             _ORACLES[f.__name__] = sql(needs, body, more)
         light = needs is not None and not {"kmers", "graph", "rois", "oriented", "regions"} & set(needs.split())
-        _RANK[f.__name__] = 2 if f.__name__ in _MANY else 0 if light else 1
+        _RANK[f.__name__] = 3 if f.__name__ in _SLOW else 2 if f.__name__ in _MANY else 0 if light else 1
         return f
 
     return add
@@ -463,10 +465,18 @@ def variant_types(c):
     return c.truth.select("item_id", S.variant_type(F.col("seq"), F.replace("seq", F.lit("AC"), F.lit("A"))).alias("type"))
 
 
-@query("", "SELECT e.event_id, 0.5 * CAST(e.event_id % 7 AS DOUBLE) AS mu, round(exp(-0.5 * (e.event_id % 7)) * power(0.5 * (e.event_id % 7), 3) / 6, 9) AS pmf FROM events e")
+@query("", "SELECT event_id, 0.5 * CAST(event_id % 7 AS DOUBLE) AS mu, round(CASE WHEN event_id % 7 = 0 THEN CASE WHEN user_id % 30 = 0 THEN 1.0 ELSE 0.0 END ELSE exp((user_id % 30) * ln(0.5 * (event_id % 7)) - lgamma((user_id % 30) + 1) - 0.5 * (event_id % 7)) END, 9) AS pmf FROM events")
 def poisson_pmf(c):
     mu = 0.5 * (F.col("event_id") % 7)
-    return c.table("events").select("event_id", mu.alias("mu"), F.round(F.exp(-mu) * F.pow(mu, F.lit(3)) / 6, 9).alias("pmf"))
+    return c.table("events").select("event_id", mu.alias("mu"), F.round(numbers.poisson(mu, F.col("user_id") % 30), 9).alias("pmf"))
+
+
+@query("", """WITH bins AS (SELECT l_linenumber AS v, sum(l_quantity) AS r FROM lineitem GROUP BY 1), cdf AS (SELECT v, sum(r) OVER (ORDER BY v) / sum(r) OVER () AS up FROM bins)
+  SELECT event_id, CAST((SELECT min(v) FROM cdf WHERE up >= (event_id % 997) / 997.0) AS BIGINT) AS drawn FROM events""")
+def empirical_draws(c):
+    bins = c.table("lineitem").select(F.col("l_linenumber").cast("long").alias("value"), F.col("l_quantity").alias("rate"))
+    rows = c.table("events").select("event_id", (F.col("event_id") % 997 / 997.0).alias("u"))
+    return numbers.drawn(rows, "u", bins).select("event_id", "drawn")
 
 
 # Runs, windows, tracks
@@ -726,6 +736,65 @@ def cigar_functions(c):
     return rows.select("event_id", inheritance.cigar_places(x, "I").alias("inserted_at"), inheritance.cigar_sizes(x, "I").alias("inserted"), inheritance.reversed_cigar(x).alias("turned"), inheritance.mismatch_places(F.col("md")).alias("mismatches"))
 
 
+# Haplotypes, ranked alignments, reads and walks
+
+
+_VARIANTS = """vars AS (SELECT item_id, seq, CAST(length(seq) // 3 AS BIGINT) AS p, substr(seq, CAST(length(seq) // 3 AS BIGINT) + 1, 5) AS r FROM truth WHERE length(seq) >= 8)"""
+
+
+def _truth_variants(c):
+    at = F.floor(F.length("seq") / 3).cast("int")
+    rows = c.truth.where("length(seq) >= 8")
+    return rows.select(F.col("item_id").alias("chr"), at.alias("start"), F.substr("seq", at + 1, F.lit(5)).alias("ref"), F.lit("A").alias("alt")), rows.select(F.col("item_id").alias("chr"), "seq")
+
+
+@query("truth", f"SELECT item_id, substr(seq, greatest(p - {K}, 0) + 1, p - greatest(p - {K}, 0)) || r || substr(seq, p + 6, {K}) AS old, substr(seq, greatest(p - {K}, 0) + 1, p - greatest(p - {K}, 0)) || 'A' || substr(seq, p + 6, {K}) AS new FROM vars", _VARIANTS)
+def haplotype_windows(c):
+    return haplotypes.windows(*_truth_variants(c), K).select(F.col("chr").alias("item_id"), "old", "new")
+
+
+@query("", "SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_discount, l_linenumber) AS INT) AS rank FROM lineitem")
+def alignment_rank(c):
+    """Lines of an order as alignments of a read: span falling, edits rising."""
+    return haplotypes.ranked(c.table("lineitem"), "l_orderkey", [F.desc("l_quantity"), F.col("l_discount"), F.col("l_linenumber")]).select("l_orderkey", "l_linenumber", "rank")
+
+
+@query("variants", "SELECT chr, pos % 5000 AS start, event_type = 'click' AS symbolic, min(pos) AS id FROM variants GROUP BY 1, 2, 3")
+def ordered_variants(c):
+    rows = c.variants.select("chr", (F.col("pos") % 5000).alias("start"), "event_type", F.col("pos").alias("id"))
+    ranks = c.variants.select("chr").distinct().withColumn("rank", F.col("chr"))
+    return haplotypes.ordered(rows, ranks, F.col("event_type") == "click", F.col("id")).select("chr", "start", "symbolic", "id")
+
+
+@query("", """SELECT l_partkey AS name, l_linenumber % 2 AS "end", list_sort(list(DISTINCT l_suppkey) FILTER (l_returnflag = 'A')) AS a, list_sort(list(DISTINCT l_suppkey) FILTER (l_returnflag = 'N')) AS n, list_sort(list(DISTINCT l_suppkey) FILTER (l_returnflag = 'R')) AS r
+  FROM lineitem WHERE l_quantity > 20 GROUP BY 1, 2 HAVING count(DISTINCT l_returnflag) = 3""")
+def merged_reads(c):
+    """Lines as alignments of reads to three references, by return flag."""
+    rows = c.table("lineitem").select(F.col("l_partkey").alias("name"), (F.col("l_linenumber") % 2).alias("end"), F.col("l_suppkey").alias("contig"), (F.col("l_quantity") > 20).cast("int").alias("mq"), "l_returnflag")
+    return haplotypes.merged_reads({x.lower(): rows.where(F.col("l_returnflag") == x).drop("l_returnflag") for x in "ANR"})
+
+
+@query("rois kmers", "SELECT r.ck, m.doc_id, coalesce(m.doc_id % 4 > 0, false) AS mapped FROM rois r LEFT JOIN (SELECT ck, min(doc_id) AS doc_id FROM seqs_k WHERE color = 2 GROUP BY ck) m ON m.ck = r.ck")
+def mappable_kmers(c):
+    return haplotypes.mappable(c.rois, c.contig_kmers.select("doc_id", "ck", (F.col("doc_id") % 4).alias("mq")), "doc_id")
+
+
+@query("kmers truth_kmers", f"SELECT t.item_id, CAST(e.a AS INT) AS start, substr(t.seq, e.a + 1, e.z - e.a + {K}) AS seq FROM truth t JOIN (SELECT item_id, min(pos) AS a, max(pos) AS z FROM truth_k WHERE ck IN (SELECT ck FROM seqs_k WHERE color IN (0, 1)) GROUP BY item_id) e ON e.item_id = t.item_id")
+def covered_part(c):
+    return haplotypes.covered_part(c.truth_kmers, c.marks.where("color in (0, 1)"), c.truth, "item_id", K)
+
+
+@query("graph", """SELECT doc_id, pos, color FROM (SELECT doc_id, pos, color, lead(pos) OVER (PARTITION BY doc_id, color ORDER BY pos) AS after FROM (
+  SELECT k.doc_id, k.pos, g.color FROM seqs_k k JOIN (SELECT ck, color FROM graph WHERE color <> 2) g ON g.ck = k.ck WHERE k.color = 2)) WHERE after = pos + 1""")
+def walk_edges(c):
+    return haplotypes.walk_edges(c.contig_kmers, c.graph.where("color <> 2"), "doc_id")
+
+
+@query("rois", "SELECT 'dust' AS filter, count(*) AS kmers FROM rois WHERE bit_count(in_mask) + bit_count(out_mask) > 4 UNION ALL SELECT 'low', count(*) FROM rois WHERE cov < 10 UNION ALL SELECT 'novel', count(*) FROM rois")
+def filter_sizes(c):
+    return haplotypes.filter_sizes({"dust": filters.dust(c.rois), "low": filters.low_coverage(c.rois), "novel": c.rois})
+
+
 # Annotation, matches, features of k-mers, cleaning
 
 
@@ -775,5 +844,10 @@ def queries() -> dict:
     return {name: (lambda spark, sf_dir, f=_QUERIES[name]: f(Catalog(spark, sf_dir))) for name in names}
 
 
+def costly() -> set[str]:
+    """Names of the queries that take long on small tables."""
+    return {name for name, rank in _RANK.items() if rank > 1}
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(_ORACLES)

@@ -3,6 +3,7 @@
 import atexit
 import itertools
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -66,12 +67,14 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_kmerloom_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    target = os.path.join(tempfile.mkdtemp(prefix="kmerloom-ship-"), "kmerloom_package.zip")
+    folder = tempfile.mkdtemp(prefix="kmerloom-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = os.path.join(folder, "kmerloom_package.zip")
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
-        for folder, _, names in os.walk(os.path.join(root, "kmerloom")):
+        for at, _, names in os.walk(os.path.join(root, "kmerloom")):
             for name in names:
                 if name.endswith(".py"):
-                    path = os.path.join(folder, name)
+                    path = os.path.join(at, name)
                     out.write(path, os.path.relpath(path, root))
     context.addPyFile(target)
     context._kmerloom_shipped = True
