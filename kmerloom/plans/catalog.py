@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.operators import contigs, filters, graph, traverse
-from kmerloom.plans.runtime import cut
+from kmerloom.plans.runtime import cut, spread
 
 K = 21
 LETTERS, DEALT = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
@@ -33,7 +33,7 @@ class Catalog:
     @property
     def seqs(self) -> DataFrame:
         seq = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), LETTERS, DEALT)
-        return self.table("documents").select("doc_id", (F.col("doc_id") % 3).cast("int").alias("color"), seq.alias("seq"))
+        return spread(self.table("documents").select("doc_id", "text")).select("doc_id", (F.col("doc_id") % 3).cast("int").alias("color"), seq.alias("seq"))
 
     @property
     def truth(self) -> DataFrame:

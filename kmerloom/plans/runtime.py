@@ -78,3 +78,10 @@ def ship(spark: SparkSession) -> None:
                     out.write(path, os.path.relpath(path, root))
     context.addPyFile(target)
     context._kmerloom_shipped = True
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores if its files split into fewer parts than there are cores: for kernels that cost more than moving
+    their rows. Tables with parts enough stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
