@@ -5,18 +5,24 @@ from pyspark.sql import functions as F
 
 from kmerloom.llm import audio, bpe, chat, chosen_path, html, kdtree, langid, mixing, pstable, quality
 from kmerloom.llm.common import crc_mod
+from kmerloom.plans.runtime import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table, dealt to all cores if its files give fewer parts: what a kernel reads row by row."""
+    return spread(_table(spark, sf_dir, name).select(*columns))
+
+
 def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.payload_digests(audio.store_texts(_table(spark, sf_dir, "documents")))
+    return audio.payload_digests(audio.store_texts(_spread(spark, sf_dir, "documents", "doc_id", "text")))
 
 
 def op2_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chosen_path.jaccard_join(_table(spark, sf_dir, "documents"))
+    return chosen_path.jaccard_join(_spread(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op3_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,24 +41,24 @@ def tokenizer_path() -> str:
 
 
 def op5_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_texts(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return bpe.encode_texts(_spread(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
 
 
 def op6_quality_random_indexing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", crc_mod("doc_id", 5) == 0)
+    docs = _spread(spark, sf_dir, "documents", "doc_id", "text").withColumn("held_out", crc_mod("doc_id", 5) == 0)
     labels = _table(spark, sf_dir, "labels").select("doc_id", "quality").where(crc_mod("doc_id", 5) != 0)
     model = quality.learn(docs.where("not held_out").select("doc_id", "text"), labels)
     return quality.grade(docs, model, keep_text=False).select("doc_id", "held_out", "score", "predicted")
 
 
 def op7_langid_naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").withColumn("held_out", crc_mod("doc_id", 4) == 2)
+    docs = _spread(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumn("held_out", crc_mod("doc_id", 4) == 2)
     model = langid.learn(docs.where("not held_out"))
     return langid.identify(docs.select("doc_id", "held_out", "text"), model, keep_text=False)
 
 
 def op8_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = html.extract(_table(spark, sf_dir, "pages"))
+    found = html.extract(_spread(spark, sf_dir, "pages", "page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
 
 
