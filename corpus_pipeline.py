@@ -1,4 +1,10 @@
-"""A training-data pipeline over documents: language, quality, near-duplicates, mixture, tokens."""
+"""A training-data pipeline over documents: language, quality, near-duplicates, mixture, tokens.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows of docs. Stages but the last return the columns of documents and drop
+any other, so a column of any name in docs does no harm. Null ids, texts, languages and sources are values that the operators define; empty
+tables give empty tables; texts count as wholes, whatever their length; a repeated row is a row as any other until the
+near-duplicates, where it goes.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +20,12 @@ SURE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is in one of the learned languages."""
+    """Documents whose text is in one of the learned languages.
+
+    Learned from rows with a language and a text, outside the held-out ids. A text that is null, empty or without a letter is in none
+    and goes, as does one whose best language has a posterior under SURE; a tie of two languages has 0.5 each and stays. If nothing
+    could be learned, no row stays.
+    """
     ship(spark)
     model = langid.learn(docs.where(crc_mod("doc_id", 4) != 2))
     found = langid.identify(docs.select(*COLUMNS), model)
@@ -22,7 +33,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts as good."""
+    """Documents that the quality classifier predicts as good.
+
+    Learned from the labelled ones among docs, outside the held-out ids; null and empty texts are scored as texts of no words. Without
+    a label every score is 0.5 and every row stays, as 0.5 is above the threshold.
+    """
     ship(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality").where(crc_mod("doc_id", 5) != 0)
     model = quality.learn(docs.where(crc_mod("doc_id", 5) != 0), labels)
@@ -30,19 +45,25 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: the least id, and of one id the least hash of the text.
+
+    Rows without a word are no duplicates of each other, but rows equal in id and text become one.
+    """
     ship(spark)
     return chosen_path.keep_one(docs.select(*COLUMNS))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated or left out, so that sources have their target weights."""
+    """Documents repeated (at most twice) or left out, so that sources have their target weights; null is a source.
+
+    Rows of one id, source and size are drawn together. Documents without a word stay as often as whole copies say.
+    """
     ship(spark)
     return mixing.apply_mix(docs.select(*COLUMNS))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and digests of ids and decoded text."""
+    """Number of tokens of each document, and digests of ids and decoded text; a null or empty text has no ids. One row a row."""
     ship(spark)
     return bpe.encode_texts(docs, tokenizer_path())
 
