@@ -19,6 +19,7 @@ NAMES = [
     "shared_kmers",
     "contig_distance_to_end",
     "cov_stats",
+    "degrees",
 ]
 
 
