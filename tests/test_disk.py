@@ -23,6 +23,7 @@ NAMES = [
     "evaluate_rois",
     "filter_sizes",
     "partition_filter",
+    "accounting",
 ]
 
 
