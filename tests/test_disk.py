@@ -33,6 +33,7 @@ NAMES = [
     "low_complexity",
     "low_coverage",
     "novel_kmers",
+    "prev_kmers",
 ]
 
 
