@@ -35,6 +35,7 @@ NAMES = [
     "novel_kmers",
     "prev_kmers",
     "recover_excluded",
+    "sections",
 ]
 
 
