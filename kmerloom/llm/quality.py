@@ -20,8 +20,8 @@ from kmerloom.llm.common import _BYTE, _INVERSE, _POWER, U, long_hash, mix
 BUCKETS, DIMS, NONZERO, NEAR = 1 << 13, 48, 4, 2
 #: Labelled rows learned from (about), hidden units, bytes of text in work at a time.
 SAMPLE, HIDDEN, SLICE = 6000, 24, 1 << 18
-#: Tasks that read the sampled texts.
-TASKS = 12
+#: Tasks that read the sampled texts; parts in which their tables of word vectors are added up.
+TASKS, PARTS = 12, 64
 THRESHOLD = 0.3
 
 _KIND = np.full(256, 4, np.uint8)
@@ -103,14 +103,25 @@ def add_contexts(sums: np.ndarray, found: np.ndarray, index: np.ndarray) -> None
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each stream of buckets: how often b stands within NEAR of a, as sums of index vectors."""
+    """Of each stream of buckets: how often b stands within NEAR of a, as sums of index vectors, in PARTS rows."""
     index = index_vectors()
     sums = np.zeros((2, BUCKETS, DIMS), np.float64)
     for batch in batches:
         for text in batch.column("text").to_pylist():
             for stream, found in enumerate(tokens(text)):
                 add_contexts(sums[stream], found, index)
-    yield pa.RecordBatch.from_arrays([pa.array([sums.astype(np.float32).tobytes()], pa.binary())], names=["sums"])
+    parts = np.split(sums.astype(np.float32).reshape(-1, DIMS), PARTS)
+    yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["part", "sums"])
+
+
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The unit vectors of each part's sums over all tasks."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, sums in zip(batch.column("part").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+            held[part] = held.get(part, 0) + np.frombuffer(sums, np.float32).reshape(-1, DIMS).astype(np.float64)
+    found = [(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)).astype(np.float32).tobytes() for x in held.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(found, pa.binary())], names=["part", "vectors"])
 
 
 def pool(texts: list[str | None], vectors: np.ndarray) -> np.ndarray:
@@ -184,24 +195,29 @@ def learn(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     marks = F.broadcast(marks)  # about `sample` rows
     rows = docs.join(marks, F.col("id") == F.col("label_id")).select("text", "y", F.pmod("draw", F.lit(5)).alias("fold"))
     rows = rows.repartition(TASKS).persist()  # about `sample` texts
-    tables = rows.select("text").mapInArrow(_contexts, "sums binary").collect()  # one table of fixed size a task
-    sums = np.zeros((2, BUCKETS, DIMS), np.float64)
-    for r in tables:
-        sums += np.frombuffer(r["sums"], np.float32).reshape(sums.shape)
-    vectors = (sums / np.maximum(np.linalg.norm(sums, axis=2, keepdims=True), 1e-9)).astype(np.float32)
+    tables = rows.select("text").mapInArrow(_contexts, "part int, sums binary").repartition(TASKS, "part")
+    tables = sorted(tables.mapInArrow(_vectors, "part int, vectors binary").collect())  # one table of fixed size, whatever the tasks
+    if not tables:  # no document has a label
+        rows.unpersist()
+        return None
+    vectors = np.frombuffer(b"".join(r["vectors"] for r in tables), np.float32).reshape(2, BUCKETS, DIMS)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = pool(batch.column("text").to_pylist(), shared.value)
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), batch.column("y"), batch.column("fold")], names=["x", "y", "fold"])
+            if batch.num_rows:
+                x = pool(batch.column("text").to_pylist(), shared.value)
+                cols = [x, *(batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("y", "fold"))]
+                yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cols], names=["x", "y", "fold"])
 
-    got = rows.mapInArrow(kernel, "x array<double>, y int, fold long").collect()  # about `sample` rows
+    got = rows.mapInArrow(kernel, "x binary, y binary, fold binary").collect()  # about `sample` rows, packed by batch
     rows.unpersist()
-    got = sorted((tuple(r["x"]), r["y"], r["fold"]) for r in got)
     if not got:
         return None
-    x, y, fold = (np.array([r[i] for r in got], float) for i in range(3))
+    x, y, fold = (np.frombuffer(b"".join(r[i] for r in got), float) for i in range(3))
+    x = x.reshape(len(y), -1)
+    order = np.lexsort((fold, y, *x.T[::-1]))  # by the values, so that no order of tasks shows
+    x, y, fold = x[order], y[order], fold[order]
     return fit(x, y, fold == 0) | {"vectors": vectors}
 
 

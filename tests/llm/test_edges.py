@@ -280,6 +280,25 @@ def test_contexts_and_pooling_match_loops(monkeypatch):
     assert (got[1] == 0).all()
 
 
+def test_learning_sends_one_table_to_the_driver(spark, monkeypatch):
+    """The tasks' tables are added up before they leave the executors; the vectors are those of one loop over all sampled texts."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels, sent = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"), []
+    frame = type(docs)
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: sent.append(collect(self)) or sent[-1])
+    model = quality.learn(docs, labels)
+    assert sum(len(x) for rows in sent for r in rows for x in r if isinstance(x, bytes | bytearray)) < 2 * model["vectors"].nbytes
+    assert not any(isinstance(x, list) for rows in sent for r in rows for x in r)
+    sums, index = np.zeros((2, quality.BUCKETS, quality.DIMS)), quality.index_vectors()
+    for r in collect(docs.join(labels.select("doc_id").distinct(), "doc_id")):
+        for stream, found in enumerate(quality.tokens(r["text"])):
+            quality.add_contexts(sums[stream], found, index)
+    want = (sums / np.maximum(np.linalg.norm(sums, axis=2, keepdims=True), 1e-9)).astype(np.float32)
+    assert np.array_equal(model["vectors"], want)
+    assert quality.learn(docs.where("doc_id < 0"), labels) is None
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(3)
     z, y = rng.normal(size=(30, 4)), rng.integers(0, 2, 30).astype(float)

@@ -20,6 +20,30 @@ def test_components(spark):
     assert rows(components(edges.where("false"))) == []
 
 
+def test_components_end_at_stars(spark, monkeypatch):
+    """Stars are written once and take no round; what is none of them takes rounds until it is."""
+    import random
+
+    from kmerloom.plans import components as module
+
+    written = []
+    cut = module.cut
+    monkeypatch.setattr(module, "cut", lambda df, name="cut": written.append(name) or cut(df, name))
+    stars = [(i, i // 10 * 10) for i in range(200) if i % 10] + [(1000 + i, 999) for i in range(50)]
+    assert dict(rows(components(spark.createDataFrame(stars, "u long, v long")))) == {x: v for u, v in stars for x in (u, v)}
+    assert len(written) == 1
+    rng = random.Random(8)
+    for edges in ([(3, 2), (3, 1)], [(3, 2), (2, 1)], [(i, i - 1) for i in range(1, 60)], [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(300 + i, 7) for i in range(60)]):
+        want = {x: x for e in edges for x in e if e[0] != e[1]}
+        for _ in want:
+            for u, v in edges:
+                if u != v:
+                    want[u] = want[v] = min(want[u], want[v])
+        written.clear()
+        assert dict(rows(components(spark.createDataFrame(edges, "u long, v long")))) == want
+        assert len(written) > 1
+
+
 def test_sequences(spark):
     df = spark.createDataFrame([("AACGTN", "acgt")], "a string, b string")
     got = df.select(S.reverse_complement("a"), S.reverse_complement("b"), S.canonical("a"), S.translate_cds("a"), S.hamming("a", F.lit("AACGTA")), S.truncate(F.lit("AAACCCGGG")), S.is_valid("a"), S.code_hash(F.lit("hello"))).first()
