@@ -3,10 +3,11 @@
 Every document is the set of its five-word shingles. In each run, a set descends from the root by every one of its
 shingles whose hash at the node falls below 1 / (0.8 |set|): two sets of similarity 0.8 share one child a level on
 average, unlike sets share fewer. The first levels need no look at the data, so each document finds its own paths.
-Small buckets are brute-forced on 256-bit sketches. In a bucket with too many unlike rows the recursion starts again from
-its node: as many runs of further levels as the recall needs, so a pair that meets there is lost below with no more chance
-than at the root. What is still crowded at the last level is compared block by block. Candidates make components, and
-inside these every pair of distinct sets is compared exactly.
+Small buckets are brute-forced on 256-bit sketches. In a bucket with too many groups of unlike rows the recursion starts again
+from its node: as many runs of further levels as the recall needs, so a pair that meets there is lost below with no more chance
+than at the root. What is still crowded at the last level, or holds very many rows that are alike, which further levels would
+not take apart, is compared block by block. Candidates make components, and inside these every pair of distinct sets is
+compared exactly.
 """
 
 import hashlib
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kmerloom.llm.common import U, constants, id_key, mix, shingles
-from kmerloom.llm.near import BLOCK, LEADERS, bucket_links, exact_links, found_edges, sized, tiles
+from kmerloom.llm.near import BLOCK, DENSE, LEADERS, bucket_links, exact_links, found_edges, sized, tiles
 from kmerloom.plans.components import components
 from kmerloom.plans.runtime import cut, release
 
@@ -188,7 +189,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, widt
     texts = source.withColumn("rep", F.struct("id", "hash")).select("rep", "text")
     levels = [cut(bucket_links(classes.select(F.explode("paths").alias("path"), F.col("node").alias("id"), "sketch"), BITS // 64, NEAR, FAR, LEADERS), "level")]
     for again in range(1, AGAIN + 1):
-        crowded = levels[-1].where("v is null").select("path", F.col("u").alias("node"))
+        crowded = levels[-1].where("v is null and not dense").select("path", F.col("u").alias("node"))
         if crowded.isEmpty():
             break
         held = crowded.groupBy("node").agg(F.collect_set("path").alias("paths"))
@@ -197,10 +198,11 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float, widt
         rows = cut(asked.mapInArrow(_deeper(threshold, width, salts), "path long, id long, sketch binary").distinct(), "deeper")
         levels.append(cut(bucket_links(rows, BITS // 64, NEAR, FAR, LEADERS), "level"))
         release(rows)
-    crowded = levels[-1].where("v is null").select("path", F.col("u").alias("id"))
-    if not crowded.isEmpty():
-        rows = sized(crowded, "path", LEADERS).join(classes.select(F.col("node").alias("id"), "sketch"), "id")
-        levels.append(cut(bucket_links(tiles(rows, "path").select(F.col("tile").alias("path"), "id", "sketch"), BITS // 64, NEAR, FAR), "level"))
+    crowded = [(levels[-1].where("v is null and not dense"), LEADERS), *((x.where("v is null and dense"), DENSE) for x in levels)]
+    for rows, size in crowded:
+        if not rows.isEmpty():
+            rows = sized(rows.select("path", F.col("u").alias("id")), "path", size).join(classes.select(F.col("node").alias("id"), "sketch"), "id")
+            levels.append(cut(bucket_links(tiles(rows, "path").select(F.col("tile").alias("path"), "id", "sketch"), BITS // 64, NEAR, FAR), "level"))
     comps = components(found_edges(levels)).withColumnsRenamed({"node": "id", "component": "comp"})
     comps = comps.join(classes.select(F.col("node").alias("id"), "rep", "weight", (F.col("n") * 8).cast("long").alias("bytes")), "id")
     comps = cut(sized(comps, "comp", BLOCK), "candidates")

@@ -11,8 +11,8 @@ from kmerloom.llm.common import U, runs
 from kmerloom.plans.components import components
 from kmerloom.plans.runtime import cut, release
 
-#: Unlike rows that a bucket may hold before it is split further.
-LEADERS = 2048
+#: Groups of unlike rows that a bucket may hold before it is split further, and rows kept before it is compared in tiles.
+LEADERS, DENSE = 2048, 16384
 #: Rows of a bucket that is compared as one matrix; rows of a bucket whose pairs are listed for all such buckets at once.
 MATRIX, TINY = 512, 12
 #: Members and payload bytes of a block; blocks of one component are compared two at a time.
@@ -22,40 +22,38 @@ BLOCK, BYTES = 256, 8 << 20
 class Bucket:
     """Leaders of a bucket of many rows. A row within `near` bits of a leader is not kept: by the triangle inequality whatever
     is linked to it lies within `far` bits of that leader. Edges join rows within `far`, one for each merge of two trees,
-    from the row to the nearest leader of the tree."""
+    from the row to the nearest leader of the tree. `trees` counts the groups that no edge joins: further runs take these
+    apart, but not the rows of one group."""
 
-    def __init__(self, width: int, near: int, far: int, limit: int | None):
-        self.near, self.far, self.limit = near, far, limit
-        self.ids, self.sketch, self.count, self.full = np.empty(64, np.int64), np.empty((64, width), U), 0, False
-        self.up: list[int] = []
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
+    def __init__(self, width: int, near: int, far: int, limit: int | None, most: int):
+        self.near, self.far, self.limit, self.most = near, far, limit, most
+        self.ids, self.tree, self.sketch = np.empty(64, np.int64), np.empty(64, np.int64), np.empty((width, 64), U)
+        self.count, self.trees, self.full = 0, 0, False
 
     def add(self, row: int, sketch: np.ndarray, edges: list) -> None:
         n = self.count
-        away = np.bitwise_count(self.sketch[:n] ^ sketch).sum(axis=1) if n else np.empty(0, int)
-        close = np.flatnonzero(away <= self.far)
-        close = close[np.argsort(away[close], kind="stable")]
-        trees: dict[int, int] = {}
-        for i in close.tolist():
-            trees.setdefault(self.root(i), i)
-        for i in trees.values():
-            if self.ids[i] != row:
-                edges.append((int(self.ids[i]), row))
-        first = min(trees, default=n)
-        for r in trees:
-            self.up[r] = first
-        if len(close) and away[close[0]] <= self.near:
-            return
+        away = np.zeros(n, np.uint16)
+        for own, bits in zip(self.sketch, sketch):
+            away += np.bitwise_count(own[:n] ^ bits)
+        close, first = np.flatnonzero(away <= self.far), n
+        if len(close):
+            tree, nearest = self.tree[close], close[away[close].argmin()]
+            first, heads = tree.min(), [nearest]
+            if (tree != first).any():
+                order = np.argsort(away[close], kind="stable")
+                _, at = np.unique(tree[order], return_index=True)
+                heads = close[order[at]]
+                self.tree[:n][np.isin(self.tree[:n], tree)] = first
+                self.trees -= len(heads) - 1
+            edges.extend((int(x), row) for x in self.ids[heads] if x != row)
+            if away[nearest] <= self.near:
+                return
+        else:
+            self.trees += 1
         if n == len(self.ids):
-            self.ids, self.sketch = np.resize(self.ids, 2 * n), np.resize(self.sketch, (2 * n, self.sketch.shape[1]))
-        self.ids[n], self.sketch[n], self.count = row, sketch, n + 1
-        self.up.append(first)
-        self.full = self.limit is not None and self.count > self.limit
+            self.ids, self.tree, self.sketch = np.resize(self.ids, 2 * n), np.resize(self.tree, 2 * n), np.concatenate((self.sketch, self.sketch), axis=1)
+        self.ids[n], self.tree[n], self.sketch[:, n], self.count = row, first, sketch, n + 1
+        self.full = self.limit is not None and (self.trees > self.limit or self.count > self.most)
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
@@ -90,39 +88,43 @@ def _pairs(sketch: np.ndarray, far: int) -> list[tuple[int, int]]:
 
 
 def bucket_links(rows: DataFrame, width: int, near: int, far: int, limit: int | None = None) -> DataFrame:
-    """rows (path long, id long, sketch binary) -> (path, u, v): links of each bucket, at least a spanning forest of them by least
-    distance, or, for a bucket with more than `limit` unlike rows, (path, id, null) for each of its rows.
+    """rows (path long, id long, sketch binary) -> (path, u, v, dense): links of each bucket, at least a spanning forest of them by
+    least distance, or (path, id, null, dense) for each row of a bucket with more than `limit` groups of unlike rows, or, where dense
+    is true, with over DENSE rows to keep in fewer groups.
 
     Small buckets are compared whole. Larger ones stream through in the order of path; their memory is their leaders.
     """
 
+    keep = DENSE
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         most = LEADERS if limit is None else limit
         held: Bucket | None = None
         at: int | None = None  # the path of held
         own: list[int] = []
         spilled = False
-        over: list[tuple[int, int]] = []
+        over: list[tuple[int, int, bool]] = []
         edges: list[tuple[int, int]] = []
 
         def out() -> pa.RecordBatch:
             p, u, v = [x[0] for x in over] + [0] * len(edges), [x[1] for x in over] + [x[0] for x in edges], [None] * len(over) + [x[1] for x in edges]
+            dense = pa.array([x[2] for x in over] + [False] * len(edges), pa.bool_())
             over.clear()
             edges.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (p, u, v)], names=["path", "u", "v"])
+            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (p, u, v)), dense], names=["path", "u", "v", "dense"])
 
         def stream(path: int, ids: np.ndarray, sketch: np.ndarray) -> None:
             nonlocal held, at, own, spilled
             if path != at:
-                held, at, own, spilled = Bucket(width, near, far, None if limit is None else most), path, [], False
+                held, at, own, spilled = Bucket(width, near, far, None if limit is None else most, keep), path, [], False
             for x, bits in zip(ids.tolist(), sketch):
                 if spilled:
-                    over.append((path, x))
+                    over.append((path, x, held.trees <= most))
                     continue
                 own.append(x)
                 held.add(x, bits, edges)
                 if held.full:
-                    over.extend((path, y) for y in own)
+                    over.extend((path, y, held.trees <= most) for y in own)
                     spilled, own = True, []
 
         for table, whole in runs(batches, "path"):
@@ -149,7 +151,7 @@ def bucket_links(rows: DataFrame, width: int, near: int, far: int, limit: int |
         yield out()
 
     parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return rows.repartition(int(parts), "path").sortWithinPartitions("path", "id").mapInArrow(kernel, "path long, u long, v long")
+    return rows.repartition(int(parts), "path").sortWithinPartitions("path", "id").mapInArrow(kernel, "path long, u long, v long, dense boolean")
 
 
 def sized(rows: DataFrame, key: str, size: int) -> DataFrame:
@@ -257,4 +259,4 @@ def found_edges(levels: list[DataFrame]) -> DataFrame:
     return edges.distinct()
 
 
-__all__ = ["BLOCK", "LEADERS", "bucket_links", "components", "exact_links", "found_edges", "release", "sized", "tiles"]
+__all__ = ["BLOCK", "DENSE", "LEADERS", "bucket_links", "components", "exact_links", "found_edges", "release", "sized", "tiles"]

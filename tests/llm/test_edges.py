@@ -141,6 +141,38 @@ def test_crowded_buckets(spark, monkeypatch, again):
     assert calls["_deeper"] >= 1 if again else calls["_deeper"] == 0 and calls["sized"] == 2
 
 
+@pytest.mark.parametrize("dense", [20, 16384])
+def test_crowded_copies(spark, monkeypatch, dense):
+    """Buckets with many near copies of one text start no further runs, which would not take them apart; with more than DENSE rows they
+    are compared in tiles. Both give every link."""
+    monkeypatch.setattr(chosen_path, "LEADERS", 8)
+    for module in (chosen_path, near):
+        monkeypatch.setattr(module, "DENSE", dense)
+
+    def deeper(*args):
+        raise AssertionError("a further run")
+
+    monkeypatch.setattr(chosen_path, "_deeper", deeper)
+    rng, sizes = random.Random(6), []
+    whole = chosen_path.sized
+    monkeypatch.setattr(chosen_path, "sized", lambda *args: sizes.append(args[2]) or whole(*args))
+    texts = []
+    for base in range(2):
+        words = [f"w{base}.{i}" for i in range(300)]
+        for _ in range(70):
+            made = list(words)
+            for _ in range(rng.randint(2, 8)):
+                made[rng.randrange(300)] = f"x{rng.randrange(10**9)}"
+            texts.append(" ".join(made))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_links"], r["component_id"]) for r in chosen_path.jaccard_join(df).collect()}
+    sets = [set(shingles(t).tolist()) for t in texts]
+    links = {i: [j for j, b in enumerate(sets) if j != i and 5 * len(a & b) >= 4 * len(a | b)] for i, a in enumerate(sets)}
+    assert {i: x[0] for i, x in got.items()} == {i: len(x) for i, x in links.items()} and max(map(len, links.values())) > 30
+    assert all(got[i][1] == got[j][1] for i, x in links.items() for j in x)
+    assert (dense in sizes) == (dense == 20)
+
+
 def test_crowded_cells(spark, monkeypatch):
     """Cells with too many unlike vectors are compared in tiles; components over a block are compared block by block."""
     monkeypatch.setattr(pstable, "LEADERS", 8)
