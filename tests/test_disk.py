@@ -130,3 +130,13 @@ def test_low_complexity_bound():
         assert all(kept[i] for i, x in enumerate(made) if len(gzip.compress(x.encode())) / k < least)
     words = np.random.default_rng(1).integers(0, 4**21, 100_000).astype(np.uint64)
     assert filters.may_be_low(words, 21, 1.5).mean() < 0.1
+
+
+def test_letters_by_eight():
+    """One table lookup gives a k-mer and the one before it: k-mers of all lengths, with a letter ahead."""
+    r = random.Random(8)
+    for k in range(1, 28):
+        texts = ["".join(r.choices("ACGT", k=k + 1)) for _ in range(50)]
+        rows = buckets._rows(np.array([int("".join(str("ACGT".index(c)) for c in x), 4) for x in texts], np.uint64), k + 1)
+        assert buckets._texts(rows[:, 1:]).to_pylist() == [x[1:] for x in texts]
+        assert buckets._texts(rows[:, :-1]).to_pylist() == [x[:-1] for x in texts]
